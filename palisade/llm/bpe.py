@@ -8,14 +8,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.shared import written
 from palisade.llm.vocabulary import rank_encoding, read_ranks
 
-#: Hash buckets by which words are shuffled; many more than a cluster has cores.
-BUCKETS = 4096
+#: Characters of input for each hash bucket by which words are shuffled.
+BUCKET_CHARS = 4_000_000
 #: White space before a space: there the text can't be cut at the space.
 RUN = re.compile(r"\s ")
 MEMO = 500_000
@@ -38,86 +38,106 @@ def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarra
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + sizes, sizes)]
 
 
-class Words:
-    """The words of a block of texts, numbered as they come."""
+def squeeze(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Compressed by byte planes."""
+    numbers = numbers.astype(kind)
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 3)
+
+
+def unsqueeze(data: bytes, kind: str = "<u4") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T.tobytes(), kind)
+
+
+def blocks(batches, block_chars: int):
+    """A task's rows in blocks of about ``block_chars`` characters, each with a name that follows from its content."""
+    rows, chars, name = [], 0, xxhash.xxh3_64()
+    for batch in batches:
+        for doc_id, row, text in zip(batch["doc_id"], batch["row"], batch["text"], strict=True):
+            text = text or ""
+            rows.append((doc_id, text))
+            chars += len(text)
+            name.update(f"{row} ".encode() + text.encode())
+            if chars >= block_chars or len(rows) >= 200_000:
+                yield name.intdigest() - 2**63, rows
+                rows, chars, name = [], 0, xxhash.xxh3_64()
+    if rows:
+        yield name.intdigest() - 2**63, rows
+
+
+def parts_of(text: str) -> list[str]:
+    """A text cut at its spaces, each part with the space before it: no match goes on past a space that follows other than white space."""
+    first, *rest = text.split(" ")
+    return [first, *[" " + x for x in rest]]
+
+
+def pre_tokens():
+    import public_tokenizers
+    import regex
 
-    def __init__(self, pattern):
-        self.find, self.numbers, self.known = pattern.findall, {}, {}
+    return regex.compile(public_tokenizers.PATTERN).findall
 
-    def number(self, part: str) -> list[int]:
-        own = [self.numbers.setdefault(w, len(self.numbers)) for w in self.find(part)]
-        self.known[part] = own
-        return own
 
-    def positions(self, text: str) -> np.ndarray:
-        """The number of the word at each position. No match goes on past a space that follows other than white space, so parts repeat."""
-        out: list[int] = []
-        known = self.known
+def dictionary(rows: list, find, buckets: int) -> tuple[np.ndarray, list[bytes], list[str]]:
+    """A block's distinct words by bucket, then bytes: buckets, words as bytes and as text."""
+    parts: set[str] = set()
+    words: set[str] = set()
+    for _, text in rows:
         if RUN.search(text):
-            parts = self.find(text)
-            numbers = self.numbers
-            out = [numbers.setdefault(w, len(numbers)) for w in parts]
-        elif text:
-            first, *rest = text.split(" ")
-            out += known.get(first) or self.number(first)
-            for part in rest:
-                part = " " + part
-                out += known.get(part) or self.number(part)
-        return np.array(out, np.uint32)
-
-
-def squeeze(numbers: np.ndarray) -> bytes:
-    """Compressed by byte planes."""
-    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+            words.update(find(text))
+        else:
+            parts.update(parts_of(text))
+    for part in parts:
+        words.update(find(part))
+    found = sorted((zlib.crc32(w) % buckets, w) for w in map(str.encode, words))
+    return np.array([x for x, _ in found], np.int64), [w for _, w in found], [w.decode() for _, w in found]
 
 
-def unsqueeze(data: bytes) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4")
+def distinct_words(docs: DataFrame, block_chars: int, buckets: int) -> DataFrame:
+    """``block, bucket, data``: the distinct words of each block."""
 
+    def words(batches):
+        find = pre_tokens()
+        for block, rows in blocks(batches, block_chars):
+            at, found, _ = dictionary(rows, find, buckets)
+            cuts = np.flatnonzero(np.diff(at, prepend=-1, append=buckets)) if len(at) else np.zeros(1, int)
+            out = [(block, int(at[a]), zlib.compress(np.array([b - a, *map(len, found[a:b])], "<u4").tobytes() + b"".join(found[a:b]), 6)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pd.DataFrame(out, columns=["block", "bucket", "data"])
 
-def exploded(docs: DataFrame, block_chars: int) -> DataFrame:
-    """Texts as positions of distinct words, in blocks of about ``block_chars`` characters of one task.
+    return docs.mapInPandas(words, "block long, bucket int, data binary")
 
-    Rows with ``bucket`` null hold a document's positions; the others the block's distinct words of one bucket.
-    """
 
-    def explode(batches):
-        import public_tokenizers
-        import regex
-
-        pattern = regex.compile(public_tokenizers.PATTERN)
-        words, rows, chars = Words(pattern), [], 0
-
-        def flush():
-            names = np.array(list(words.numbers), dtype=object)
-            encoded = [w.encode() for w in names]
-            at = np.array([zlib.crc32(w) % BUCKETS for w in encoded], np.int64)
-            order = np.argsort(at, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order))
-            own = [(None, r[0], r[1], squeeze(place[r[2]])) for r in rows]
-            cuts = np.flatnonzero(np.diff(at[order], prepend=-1, append=BUCKETS))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                some = [encoded[i] for i in order[a:b]]
-                own.append((int(at[order[a]]), None, None, zlib.compress(np.array([len(some), *map(len, some)], "<u4").tobytes() + b"".join(some), 1)))
-            # The block's name comes from its content: a task that is run again names it alike.
-            block = zlib.crc32(repr([(r[0], len(r[2])) for r in rows]).encode()) << 31 | zlib.adler32(own[0][3]) >> 1
-            return pd.DataFrame([(block, *r) for r in own], columns=["block", "bucket", "doc_id", "row", "data"]).astype({"bucket": "Int32"})
+def positions(docs: DataFrame, block_chars: int, buckets: int) -> DataFrame:
+    """``block, doc_id, order, data``: the word at each position of each document, by its rank of frequency in the block.
 
-        for batch in batches:
-            for doc_id, row, text in zip(batch["doc_id"], batch["row"], batch["text"], strict=True):
-                text = text or ""
-                rows.append((doc_id, row, words.positions(text)))
-                chars += len(text)
-                if chars >= block_chars or len(rows) >= 200_000:
-                    yield flush()
-                    words, rows, chars = Words(pattern), [], 0
-        if rows:
-            yield flush()
+    A row with ``order`` holds the block's words by rank, numbered as :func:`distinct_words` lists them.
+    """
+
+    def places(batches):
+        find = pre_tokens()
+        for block, rows in blocks(batches, block_chars):
+            _, _, words = dictionary(rows, find, buckets)
+            number = {w: i for i, w in enumerate(words)}
+            known: dict[str, list[int]] = {}
+            found = []
+            for _, text in rows:
+                own: list[int] = []
+                if RUN.search(text):
+                    own = [number[w] for w in find(text)]
+                elif text:
+                    for part in parts_of(text):
+                        numbers = known.get(part)
+                        if numbers is None:
+                            numbers = known[part] = [number[w] for w in find(part)]
+                        own += numbers
+                found.append(np.array(own, np.int64))
+            order = np.argsort(-np.bincount(np.concatenate(found), minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            yield pd.DataFrame({"block": block, "doc_id": pd.Series([None, *[r[0] for r in rows]], dtype=object), "order": [True] + [False] * len(rows), "data": [squeeze(order), *[squeeze(rank[x]) for x in found]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(explode, f"block long, bucket int, doc_id {kind}, row long, data binary")
+    return docs.mapInPandas(places, f"block long, doc_id {kind}, order boolean, data binary")
 
 
 def encode(docs: DataFrame, vocabulary: str, block_chars: int = 12_000_000) -> DataFrame:
@@ -126,10 +146,12 @@ def encode(docs: DataFrame, vocabulary: str, block_chars: int = 12_000_000) -> D
     ``vocabulary``: a tiktoken rank file. Pre-tokens are laid out with their positions in blocks; each block
     sends a word once to the word's bucket, where each distinct word is encoded once; its ids come back to the
     block and are put together by position. Only distinct words and compressed positions are shuffled, and a
-    frequent word is one entry a block. Null and empty texts have no ids; ties and repeated rows, also of one
+    frequent word is one entry a block; texts are read twice, which takes less than to keep what is laid out. Null and empty texts have no ids; ties and repeated rows, also of one
     ``doc_id``, each give a row; an empty table gives none; other columns are ignored.
     """
-    laid = written(exploded(docs, block_chars), "words")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    buckets = 16 + (docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0) // BUCKET_CHARS
 
     def encode_words(batches):
         encoding, memo = rank_encoding(vocabulary), {}
@@ -138,33 +160,33 @@ def encode(docs: DataFrame, vocabulary: str, block_chars: int = 12_000_000) -> D
             for data in batch["data"]:
                 data = zlib.decompress(data)
                 n = int.from_bytes(data[:4], "little")
-                ends = np.cumsum(np.frombuffer(data, "<u4", n, 4)) + 4 * (n + 1)
                 a, ids = 4 * (n + 1), []
-                for b in ends:
+                for b in np.cumsum(np.frombuffer(data, "<u4", n, 4)) + a:
                     word = data[a:b]
                     own = memo.get(word)
                     if own is None:
                         own = memo[word] = encoding.encode_ordinary(word.decode())
                     ids.append(own)
-                    a = b
-                sizes = np.array([n, *map(len, ids)], "<u4")
-                out.append(zlib.compress(sizes.tobytes() + np.array([i for x in ids for i in x], "<u4").tobytes(), 1))
+                    a = int(b)
+                out.append(squeeze(np.array([n, *map(len, ids), *(i for x in ids for i in x)])))
                 if len(memo) > MEMO:
                     memo.clear()
             yield pd.DataFrame({"block": batch["block"], "bucket": batch["bucket"], "data": out})
 
-    words = laid.where("bucket is not null").select("block", "bucket", "data")
-    coded = words.repartition("bucket").mapInPandas(encode_words, "block long, bucket int, data binary")
+    coded = distinct_words(source, block_chars, buckets).repartition("bucket").mapInPandas(encode_words, "block long, bucket int, data binary")
 
     def assemble(texts: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        sizes, flat = [np.zeros(1, np.int64)], []
+        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
         for data in codes.sort_values("bucket")["data"]:
-            data = np.frombuffer(zlib.decompress(data), "<u4")
+            data = unsqueeze(data)
             sizes.append(data[1 : data[0] + 1].astype(np.int64))
             flat.append(data[data[0] + 1 :])
-        starts = np.cumsum(np.concatenate(sizes))
-        flat = np.concatenate(flat) if flat else np.empty(0, "<u4")
+        # By rank: the ids of each word of the block, end to end.
+        order = unsqueeze(texts["data"][texts["order"]].iloc[0]).astype(np.int64)
+        flat = gather(np.concatenate(flat), np.cumsum(np.concatenate([[0], *sizes])), order)
+        starts = np.cumsum(np.concatenate([[0], np.concatenate(sizes)[order]]))
         table, begins = token_bytes(vocabulary)
+        texts = texts[~texts["order"]]
         ids, raw = [], []
         for data in texts["data"]:
             own = gather(flat, starts, unsqueeze(data))
@@ -172,9 +194,8 @@ def encode(docs: DataFrame, vocabulary: str, block_chars: int = 12_000_000) -> D
             raw.append(gather(table, begins, own.astype(np.int64)).tobytes())
         return pd.DataFrame({"doc_id": texts["doc_id"], "ids": ids, "decoded": raw})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = laid.where("bucket is null").select("block", "doc_id", "data")
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(assemble, f"doc_id {kind}, ids binary, decoded binary")
+    laid = positions(source, block_chars, buckets)
+    return laid.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(assemble, f"doc_id {kind}, ids binary, decoded binary")
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
