@@ -13,14 +13,16 @@ from palisade.llm.shared import components, grouped_links, written
 #: Odd multipliers that mix the hashes of a shingle's words by place.
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 #: Shingles that a bucket counts, about; the number of buckets follows the input.
-BUCKET = 1_000_000
+BUCKET = 2_000_000
 #: Shingles of which a task keeps the lists before it hands them on.
 HELD = 3_000_000
+#: Bytes of a shingle's name.
+NAME_BYTES = 7
 MEMO = 1_000_000
 
 
 def shingles(text: str | None, width: int, memo: dict[bytes, int]) -> np.ndarray:
-    """Sorted 64-bit names of the distinct ``width``-word shingles; of fewer words, one shingle of them all; without words none.
+    """Sorted 56-bit names of the distinct ``width``-word shingles; of fewer words, one shingle of them all; without words none.
 
     Only A-Z are lower-cased; words are runs without ASCII white space.
     """
@@ -38,7 +40,7 @@ def shingles(text: str | None, width: int, memo: dict[bytes, int]) -> np.ndarray
     out = np.full(n, min(len(own), width), np.uint64)
     for i in range(min(width, len(own))):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(MIX[i % 5]) + own[i : i + n]
-    return np.unique(out ^ (out >> np.uint64(32)))
+    return np.unique((out ^ (out >> np.uint64(32))) & np.uint64((1 << 8 * NAME_BYTES) - 1))
 
 
 def name(own: np.ndarray) -> int:
@@ -78,13 +80,14 @@ def shared_shingles(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             sizes = np.array([len(s) for s in held.values()], np.int64)
             h, own = np.concatenate(list(held.values())), np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
             at = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
+            order = np.lexsort((h, at))
             h, own, at = h[order], own[order], at[order]
+            planes = h.view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
             cuts = np.flatnonzero(np.diff(at, prepend=-1, append=buckets))
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 some, place = np.unique(own[a:b], return_inverse=True)
-                rows.append((int(at[a]), h[a:b].tobytes(), place.astype("<u2" if len(some) < 65536 else "<u4").tobytes(), ids[some].tobytes(), sizes[some].astype("<u4").tobytes()))
+                rows.append((int(at[a]), planes[a:b].T.tobytes(), place.astype("<u2" if len(some) < 65536 else "<u4").tobytes(), ids[some].tobytes(), sizes[some].astype("<u4").tobytes()))
             return pd.DataFrame(rows, columns=["bucket", "h", "place", "ids", "sizes"])
 
         for batch in batches:
@@ -104,7 +107,10 @@ def shared_shingles(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     def count(group: pd.DataFrame) -> pd.DataFrame:
         h, ids, sizes = [], [], []
         for r in group.itertuples():
-            own = np.frombuffer(r.h, np.uint64)
+            planes = np.frombuffer(r.h, np.uint8).reshape(NAME_BYTES, -1)
+            own = np.zeros((planes.shape[1], 8), np.uint8)
+            own[:, :NAME_BYTES] = planes.T
+            own = own.view(np.uint64).ravel()
             place = np.frombuffer(r.place, "<u2" if len(r.place) == 2 * len(own) else "<u4")
             h.append(own)
             ids.append(np.frombuffer(r.ids, np.int64)[place])
@@ -161,14 +167,14 @@ def jaccard_links(docs: DataFrame, names: DataFrame, width: int, percent: int) -
         both = pairs.join(one, "a").join(two, "b").withColumn("k", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("k") * 100 >= (F.col("n") + F.col("m") - F.col("k")) * percent).select("a", "b")
 
-    return grouped_links(postings, verify, admissible)
+    return grouped_links(postings, verify, admissible, sets.select("id", head.alias("head")))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id``: documents grouped by links of 100 * intersection >= ``percent`` * union.
 
     ``component_id`` is the smallest doc_id reachable, itself included. Sets are of distinct ``width``-word
-    shingles, under 64-bit names; a shorter text is one shingle. Texts without words, null ones too, link with
+    shingles, under 56-bit names; a shorter text is one shingle. Texts without words, null ones too, link with
     nothing. Equal sets are one node, so copies and repeated rows cost no pairs. An empty table gives no rows;
     other columns are ignored.
     """

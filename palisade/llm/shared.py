@@ -61,6 +61,7 @@ def grouped_links(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     admissible: Callable[[str, str], Column],
+    heads: DataFrame | None = None,
     rounds: int = 2,
 ) -> DataFrame:
     """Links ``(a, b)`` that connect just what all verified pairs would connect.
@@ -71,7 +72,9 @@ def grouped_links(
     only; a group whose members are then connected is done, since a further link inside it would
     connect nothing new. Of the groups left, exactly the pairs across components are verified, the
     largest component's members never among themselves. So a group of near copies costs a
-    multiple of its size, not its square, and no link between components is lost.
+    multiple of its size, not its square, and no link between components is lost. ``heads(id, head)``
+    lists the groups of an id in one order for all: a pair is then looked at in its first common group only,
+    which must be the one where ``admissible`` holds if it does in any. Without it the order is that of ``g``.
     """
     found = None
     tried = None
@@ -82,7 +85,7 @@ def grouped_links(
         if n < rounds:
             pick = F.struct(F.xxhash64("c", F.lit(n)) if n else F.col("id"), F.col("id"))
         else:
-            sizes = own.groupBy("g", "c").agg(F.count("*").alias("size"), F.min(F.struct(*[x for x in postings.columns if x != "g"])).alias("at"))
+            sizes = own.groupBy("g", "c").agg(F.count("*").alias("size"))
             main = sizes.groupBy("g").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("k")).where("k > 1")
         if n < rounds:
             lead = own.groupBy("g").agg(
@@ -92,11 +95,14 @@ def grouped_links(
             ).where("c0 <> c1").select("g", "r")
             pairs = own.join(lead, "g").select(F.struct(*[x for x in own.columns if x != "g"]).alias("l"), "r")
         else:
-            open_ = own.join(main, "g")
-            members = F.struct(*[x for x in own.columns if x != "g"])
+            open_ = own.join(main.select("g", "main"), "g")
+            own_heads = open_.groupBy("id").agg(F.sort_array(F.collect_set("g")).alias("head")) if heads is None else heads
+            open_ = open_.join(own_heads, "id")
+            members = F.struct(*[x for x in own.columns if x != "g"], "head")
             left = open_.where("c <> main").select("g", members.alias("l"))
             right = open_.select("g", members.alias("r"))
-            pairs = left.join(right, "g").select("l", "r")
+            first = F.get(F.array_intersect("l.head", "r.head"), F.lit(0)) == F.col("g")
+            pairs = left.join(right, "g").where(first).select("l", "r")
         pairs = pairs.where((F.col("l.c") != F.col("r.c")) & admissible("l", "r"))
         pairs = pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
         if tried is not None:
