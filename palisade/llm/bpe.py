@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.shared import gather
 from palisade.llm.vocabulary import rank_encoding, read_ranks
 
 #: Characters of input for each hash bucket by which words are shuffled.
@@ -31,13 +32,6 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(table), np.uint8), np.cumsum([0, *map(len, table)])
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """``flat[starts[i]:starts[i + 1]]`` of each i in ``which``, end to end."""
-    sizes = starts[which + 1] - starts[which]
-    ends = np.cumsum(sizes)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + sizes, sizes)]
-
-
 def squeeze(numbers: np.ndarray, kind: str = "<u4") -> bytes:
     """Compressed by byte planes."""
     numbers = numbers.astype(kind)
