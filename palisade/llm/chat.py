@@ -184,7 +184,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
             else:
                 out.append((n, role, [line]))
             last = (n, role)
-        own = pd.DataFrame([(n, ROLES[r], "\n".join(x)) for n, r, x in out], columns=["n", "role", "text"])
+        own = pd.DataFrame([(n, ROLES[r], "\n".join(x)) for n, r, x in out], columns=["n", "role", "text"]).astype({"role": object, "text": object})
         own["segment"] = own.groupby("n").cumcount()
         for c in ("conv_id", "turn"):
             own[c] = chunk[c].array.take(own["n"].to_numpy())
