@@ -1,0 +1,74 @@
+from dataclasses import replace
+
+import pytest
+
+from palisade.operators import engine, gates
+from palisade.operators.policy import RULES, Policy, load
+from palisade.sources.patches import numstat, patch_lines
+
+CHANGES = "change_id long, committed_at timestamp, branch string, message string, env_agent string, is_merge boolean, tree_hash string"
+FILES = "change_id long, path string, kind string, added long, removed long"
+LINES = "change_id long, path string, line_no long, text string"
+
+
+def change(i, branch="x", message="", env=""):
+    return (i, None, branch, message, env, False, f"t{i}")
+
+
+def test_settings_fail_closed():
+    with pytest.raises(ValueError, match="aa, zz"):
+        load({"zz": 1, "aa": 2})
+    for bad in ({"mode": "x"}, {"max_lines": -1}, {"protected": ["[a"]}, {"severities": {"a/b": "fatal"}}, {"heuristics": ["(?=a)"]}):
+        with pytest.raises(ValueError):
+            load(bad)
+    assert load({"overrides": [{"paths": ["gen/**"], "max_lines": 5}]}).overrides[0].max_lines == 5
+
+
+def test_agents(spark):
+    rows = [change(1, env=" Devin "), change(2, message="x\n  Co-authored-by: cursor <a>"), change(3, "agent/x"), change(4, "bot/x"), change(5)]
+    found = gates.detect(spark.createDataFrame(rows, CHANGES), Policy(heuristics=("bot/",))).collect()
+    assert [(r["prov_source"], r["agent"]) for r in found] == [("env", "Devin"), ("trailer", "Cursor"), ("branch", ""), ("heuristic", ""), ("none", "")]
+
+
+def test_budget_is_strict_and_overrides_inherit(spark):
+    files = spark.createDataFrame([(1, "a.go", "added", 3, 3), (2, "a.go", "added", 4, 3), (3, "gen/x", "added", 90, 0)], FILES)
+    policy = load({"max_lines": 6, "overrides": [{"paths": ["gen/**"], "max_lines": 100}]})
+    assert [(r["change_id"], r["rule_id"]) for r in gates.diff_budget(files, policy).collect()] == [(2, "max-lines")]
+    assert gates.diff_budget(files, replace(policy, max_lines=0, overrides=())).count() == 0
+
+
+def test_rules_find_their_examples(spark):
+    table = gates.rule_table(spark, Policy())
+    assert table.where("failures > 0").count() == 0
+    lines = spark.createDataFrame([(1, "a", n, x) for n, x in enumerate(x for r in RULES for x in r.positives)], LINES)
+    assert gates.ai_patterns(lines, Policy()).count() == 5
+    assert gates.ai_patterns(lines, Policy(disabled_rules=("no-broad-catch",))).count() == 3
+
+
+def test_whole_pipeline(spark):
+    changes = spark.createDataFrame([change(1, "main", env="Devin"), change(2), change(3)], CHANGES)
+    files = spark.createDataFrame([(1, "src/a.go", "modified", 1, 0), (2, "go.lock", "modified", 1, 0)], FILES)
+    lines = spark.createDataFrame([(2, "go.lock", 1, "try: except:")], LINES)
+    policy = Policy(declared=("lib/**",), allow_always=("**/*.lock",))
+    found = engine.evaluate(changes, files, lines, policy)
+    assert sorted((r["change_id"], r["gate"], r["severity"]) for r in found.collect()) == [(1, "branch_policy", "error"), (1, "scope", "error"), (2, "ai_patterns", "warn")]
+    by = lambda mode: [r["result"] for r in engine.verdicts(changes, found, mode).orderBy("change_id").collect()]
+    assert by("enforce") == ["blocked", "passed", "passed"] and by("warn") == ["warned", "passed", "passed"]
+    assert engine.until_first_block(found).where("change_id = 1").count() == 1
+    report = engine.json_reports(engine.verdicts(changes, found, "enforce"), found).orderBy("change_id").collect()
+    assert '"findings":[]' in report[2]["report"] and '"gate":"branch_policy"' in report[0]["report"]
+
+
+def test_patches(spark):
+    text = "--- a/x y\n+++ b/x y\t\n@@ -1,2 +5,4 @@\n ctx\n+++ plus\n+new\n-old\n+last\n--- a/z\n+++ /dev/null\n"
+    rows = patch_lines(spark.createDataFrame([(1, text)], "id long, text string"), "id").collect()
+    assert sorted((r["op"], r["line_no"], r["text"], r["path"]) for r in rows) == [("+", 6, "++ plus", "x y"), ("+", 7, "new", "x y"), ("+", 8, "last", "x y"), ("-", 2, "old", "x y")]
+    listing = "5\t2\tsrc/a.go\0-\t-\tlogo.png\x001\t0\t\0old.txt\0new.txt\0bad\0"
+    rows = numstat(spark.createDataFrame([(1, listing)], "id long, text string"), "id").collect()
+    assert [(r["path"], r["old_path"], r["added"], r["is_binary"]) for r in rows] == [("src/a.go", None, 5, False), ("logo.png", None, 0, True), ("new.txt", "old.txt", 1, False)]
+
+
+def test_queries_have_twins():
+    import __spark_entry__ as E
+
+    assert set(E.oracle_sql()) <= set(E.queries()) and len(E.queries()) >= 30
