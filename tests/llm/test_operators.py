@@ -215,3 +215,12 @@ def test_queries_are_registered(name):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_word_ids_equal_those_of_whole_texts():
+    texts = [None, "", " \x1f ", "a\x1cb \x02x y\x02 <|endoftext|>z\x85q \x02", "ab\x02\x02c d é́ <|startoftext|>", "ΟΔΟΣ İx ﬁ 'S o's \x02's 't", "plain words, plain"]
+    tokenizer = json_tokenizer(WORDS)
+    known = packing.WordIds(tokenizer)
+    for _ in range(2):
+        for text, ids in zip(texts, known.of([packing.words_of(x) for x in texts]), strict=True):
+            assert tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist()
