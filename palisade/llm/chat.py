@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palisade.llm.shared import written
 
@@ -37,8 +39,18 @@ class Model:
     def scores(self, seen: tuple[int, ...]) -> np.ndarray:
         return sum(table[:, x] for table, x in zip(self.emit, seen, strict=True))
 
+    @cached_property
+    def steps(self) -> dict[tuple[int, ...], np.ndarray]:
+        return {}
+
     def step(self, seen: tuple[int, ...]) -> np.ndarray:
-        """Best log-probabilities from a role, or from the start (last row), to a line's role. Inside a row only a marker changes the speaker."""
+        """Best log-probabilities from a role, or from the start (last row), to a line's role; one for each of the few combinations of features."""
+        if (found := self.steps.get(seen)) is None:
+            found = self.steps[seen] = self.new_step(seen)
+        return found
+
+    def new_step(self, seen: tuple[int, ...]) -> np.ndarray:
+        """Inside a row only a marker changes the speaker."""
         move = self.change if seen[0] or not seen[1] else np.where(np.eye(len(ROLES), dtype=bool), 0.0, NEVER)
         return np.vstack([move, self.start]) + self.scores(seen)
 
@@ -59,10 +71,10 @@ def laid(rows: DataFrame) -> DataFrame:
     return ordered.mapInPandas(number, rows.schema.add("chunk", "long").add("ord", "long"))
 
 
-def lines_of(chunk: pd.DataFrame, opens: bool) -> list[tuple[int, str, tuple[int, ...]]]:
-    """Row number, line and features of a chunk's lines."""
+def lines_of(texts: list[str | None], opens: bool) -> list[tuple[int, str, tuple[int, ...]]]:
+    """Row number, line and features of the lines of a chunk's texts."""
     out = []
-    for n, text in enumerate(chunk["text"]):
+    for n, text in enumerate(texts):
         for place, line in enumerate((text or "").split("\n")):
             out.append((n, line, features(line, place, opens and n == 0 and place == 0)))
     return out
@@ -107,12 +119,18 @@ def learn(laid_rows: DataFrame) -> Model:
     return Model(change[-1], change[:-1], tuple(log(t) for t in emit))
 
 
-def per_chunk(rows: DataFrame, f, schema: str, *more: str) -> DataFrame:
-    """``f`` of each (conv, chunk), many chunks to a group; chunks have a bounded number of rows."""
+def per_chunk(rows: DataFrame, f, schema: str) -> DataFrame:
+    """``f(part, a, b)`` of each (conv, chunk), many chunks to a group: the chunk is rows a to b of ``part``; chunks have a bounded number of rows."""
     n = max(1, rows.count() // 20_000)
+    names = StructType.fromDDL(schema).names
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([f(own.sort_values("ord")) for _, own in part.groupby(["conv", "chunk"])])
+        part = part.sort_values(["conv", "chunk", "ord"])
+        new = (np.diff(part["conv"].to_numpy()) != 0) | (np.diff(part["chunk"].to_numpy()) != 0)
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(part)]]).tolist()
+        part = {c: part[c].tolist() if part[c].dtype == object else part[c].array for c in part}
+        out = [row for a, b in zip(cuts[:-1], cuts[1:], strict=True) for row in f(part, a, b)]
+        return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in zip(names, zip(*out, strict=True), strict=True)})
 
     return rows.withColumn("_part", F.pmod(F.xxhash64("conv", "chunk"), F.lit(n))).groupBy("_part").applyInPandas(group, schema)
 
@@ -132,39 +150,44 @@ def format_chats(rows: DataFrame) -> DataFrame:
     model = learn(table)
     first = table.groupBy("conv").agg(F.min("chunk").alias("head"))
     opened = table.join(first, "conv").withColumn("opens", F.col("chunk") == F.col("head")).drop("head", "role")
+    # As strings, so that pandas keeps null and large numbers as they are.
+    opened = opened.withColumns({c: F.col(c).cast("string") for c in ("conv_id", "turn")})
 
-    def product(chunk: pd.DataFrame) -> pd.DataFrame:
+    def product(part, a: int, b: int):
         best = None
-        for _, _, seen in lines_of(chunk, bool(chunk["opens"].iloc[0])):
+        for _, _, seen in lines_of(part["text"][a:b], bool(part["opens"][a])):
             step = model.step(seen)
             best = step if best is None else (best[:, :, None] + step[None, :-1]).max(axis=1)
-        return pd.DataFrame({"conv": [chunk["conv"].iloc[0]], "chunk": [chunk["chunk"].iloc[0]], "best": [best.ravel()]})
+        yield part["conv"][a], part["chunk"][a], best.ravel()
 
     matrices = per_chunk(opened, product, "conv long, chunk long, best array<double>")
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for conv, own in part.sort_values(["conv", "chunk"]).groupby("conv"):
+        part = part.sort_values(["conv", "chunk"])
+        convs, chunks, matrices = (part[c].tolist() for c in ("conv", "chunk", "best"))
+        cuts = [0, *(np.flatnonzero(np.diff(part["conv"].to_numpy())) + 1).tolist(), len(convs)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             score, back = None, []
-            for m in own["best"]:
+            for m in matrices[a:b]:
                 m = np.asarray(m, float).reshape(len(ROLES) + 1, -1)
                 total = m[-1:] if score is None else score[:, None] + m[:-1]
                 back.append(total.argmax(axis=0))
                 score = total.max(axis=0)
             state, ends = int(score.argmax()), []
-            for b in reversed(back):
+            for x in reversed(back):
                 ends.append(state)
-                state = int(b[state])
+                state = int(x[state])
             ends.reverse()
-            out.append(pd.DataFrame({"conv": conv, "chunk": own["chunk"].to_numpy(), "enter": [-1, *ends[:-1]], "leave": ends}))
-        return pd.concat(out)
+            out.extend(zip(convs[a:b], chunks[a:b], [-1, *ends[:-1]], ends, strict=True))
+        return pd.DataFrame(out, columns=["conv", "chunk", "enter", "leave"])
 
     n = F.lit(max(1, matrices.sparkSession.conf.get("spark.sql.shuffle.partitions") and 4 * int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     ends = matrices.withColumn("_part", F.pmod(F.xxhash64("conv"), n)).groupBy("_part").applyInPandas(scan, "conv long, chunk long, enter int, leave int")
 
-    def decode(chunk: pd.DataFrame) -> pd.DataFrame:
-        found = lines_of(chunk, bool(chunk["opens"].iloc[0]))
-        enter, state = int(chunk["enter"].iloc[0]), int(chunk["leave"].iloc[0])
+    def decode(part, a: int, b: int):
+        found = lines_of(part["text"][a:b], bool(part["opens"][a]))
+        enter, state = int(part["enter"][a]), int(part["leave"][a])
         score, back = None, []
         for _, _, seen in found:
             step = model.step(seen)
@@ -172,9 +195,9 @@ def format_chats(rows: DataFrame) -> DataFrame:
             back.append(total.argmax(axis=0))
             score = total.max(axis=0)
         states = []
-        for b in reversed(back):
+        for x in reversed(back):
             states.append(state)
-            state = int(b[state])
+            state = int(x[state])
         out, last = [], None
         for (n, line, seen), role in zip(found, reversed(states), strict=True):
             if seen[0]:
@@ -184,12 +207,12 @@ def format_chats(rows: DataFrame) -> DataFrame:
             else:
                 out.append((n, role, [line]))
             last = (n, role)
-        own = pd.DataFrame([(n, ROLES[r], "\n".join(x)) for n, r, x in out], columns=["n", "role", "text"]).astype({"role": object, "text": object})
-        own["segment"] = own.groupby("n").cumcount()
-        for c in ("conv_id", "turn"):
-            own[c] = chunk[c].array.take(own["n"].to_numpy())
-        return own[["conv_id", "turn", "segment", "role", "text"]]
+        segment = 0
+        for i, (n, role, own) in enumerate(out):
+            segment = segment + 1 if i and out[i - 1][0] == n else 0
+            yield part["conv_id"][a + n], part["turn"][a + n], segment, ROLES[role], "\n".join(own)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in ("conv_id", "turn")}
-    turns = per_chunk(opened.join(ends, ["conv", "chunk"]), decode, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, segment int, role string, text string")
+    turns = per_chunk(opened.join(ends, ["conv", "chunk"]), decode, "conv_id string, turn string, segment int, role string, text string")
+    turns = turns.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
     return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")))
