@@ -19,6 +19,8 @@ HELD = 3_000_000
 #: Bytes of a shingle's name.
 NAME_BYTES = 7
 MEMO = 1_000_000
+#: 64-bit words of a set's parity map.
+WORDS = 8
 
 
 def shingles(text: str | None, width: int, memo: dict[bytes, int]) -> np.ndarray:
@@ -48,6 +50,16 @@ def name(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63
 
 
+def parity(sets: pd.Series) -> pd.Series:
+    """Maps of bits, each flipped by every shingle that falls on it: two maps differ in no more bits than their sets in shingles."""
+    out = []
+    for h in sets:
+        own = np.asarray(h, np.int64).view(np.uint64)
+        odd = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
+    return pd.Series(out, dtype=object)
+
+
 def set_names(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, id``: equal sets have one id, which is null for empty ones."""
 
@@ -142,6 +154,7 @@ def jaccard_links(docs: DataFrame, names: DataFrame, width: int, percent: int) -
     Index: a set's shingles are ordered by rarity. Of n shingles two linked sets share one among the first
     n - ceil(n * percent / 100) + 1 of each; shingles of a single set come first and lead nowhere, so most
     sets drop out. Lists are skipped by size and position; answers inside a list are derived from its leader's.
+    Pairs across components are verified only if their parity maps leave room for the overlap, which no link fails.
     """
     total = names.agg(F.sum("n_shingles")).first()[0] or 0
     parts = shared_shingles(docs, width, 16 + total // BUCKET)
@@ -167,7 +180,16 @@ def jaccard_links(docs: DataFrame, names: DataFrame, width: int, percent: int) -
         both = pairs.join(one, "a").join(two, "b").withColumn("k", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("k") * 100 >= (F.col("n") + F.col("m") - F.col("k")) * percent).select("a", "b")
 
-    return grouped_links(postings, verify, admissible, sets.select("id", head.alias("head")))
+    def detail(ids: DataFrame) -> DataFrame:
+        return sets.join(ids, "id", "left_semi").select("id", "single", F.pandas_udf(parity, "array<long>")("h").alias("bits"))
+
+    def close(left: str, right: str) -> Column:
+        total = F.col(f"{left}.n") + F.col(f"{right}.n")
+        differ = sum(F.bit_count(F.col(f"{left}.bits")[i].bitwiseXOR(F.col(f"{right}.bits")[i])) for i in range(WORDS))
+        differ = differ + F.col(f"{left}.single") + F.col(f"{right}.single")
+        return (total - differ) * (100 + percent) >= 2 * total * percent
+
+    return grouped_links(postings, verify, admissible, sets.select("id", head.alias("head")), detail=detail, close=close)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -71,6 +71,8 @@ def grouped_links(
     admissible: Callable[[str, str], Column],
     heads: DataFrame | None = None,
     rounds: int = 2,
+    detail: Callable[[DataFrame], DataFrame] | None = None,
+    close: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """Links ``(a, b)`` that connect just what all verified pairs would connect.
 
@@ -83,6 +85,8 @@ def grouped_links(
     multiple of its size, not its square, and no link between components is lost. ``heads(id, head)``
     lists the groups of an id in one order for all: a pair is then looked at in its first common group only,
     which must be the one where ``admissible`` holds if it does in any. Without it the order is that of ``g``.
+    ``detail(ids)`` gives further columns by ``id`` for the pairs across components, and ``close(left, right)``
+    is a condition on them without which a pair cannot be a link.
     """
     found = None
     tried = None
@@ -106,12 +110,18 @@ def grouped_links(
             open_ = own.join(main.select("g", "main"), "g")
             own_heads = open_.groupBy("id").agg(F.sort_array(F.collect_set("g")).alias("head")) if heads is None else heads
             open_ = open_.join(own_heads, "id")
-            members = F.struct(*[x for x in own.columns if x != "g"], "head")
+            if detail is not None:
+                open_ = open_.join(detail(open_.select("id").distinct()), "id")
+            members = F.struct(*[x for x in open_.columns if x not in ("g", "main")])
             left = open_.where("c <> main").select("g", members.alias("l"))
             right = open_.select("g", members.alias("r"))
-            first = F.get(F.array_intersect("l.head", "r.head"), F.lit(0)) == F.col("g")
-            pairs = left.join(right, "g").where(first).select("l", "r")
-        pairs = pairs.where((F.col("l.c") != F.col("r.c")) & admissible("l", "r"))
+            pairs = left.join(right, "g").select("g", "l", "r")
+        apart = (F.col("l.c") != F.col("r.c")) & admissible("l", "r")
+        if n == rounds:
+            # The cheap conditions come first.
+            apart = apart if close is None else apart & close("l", "r")
+            apart = apart & (F.get(F.array_intersect("l.head", "r.head"), F.lit(0)) == F.col("g"))
+        pairs = pairs.where(apart)
         pairs = pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
