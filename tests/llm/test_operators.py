@@ -224,3 +224,28 @@ def test_word_ids_equal_those_of_whole_texts():
     for _ in range(2):
         for text, ids in zip(texts, known.of([packing.words_of(x) for x in texts]), strict=True):
             assert tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist()
+
+
+def test_lines_with_a_changed_word(spark):
+    random.seed(8)
+    words = [a + b + c for a in ("ba", "ne", "ti", "sor") for b in ("ra", "mo", "li", "den") for c in ("k", "s", "lt", "ve")]
+    base = [random.choices(words, k=30) for _ in range(60)]
+    near = [own[:9] + ["zz"] + own[10:] for own in base]
+    docs = documents(spark, [" ".join(x) for x in base + near])
+    removed = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()}
+    # The radius reaches most lines with one changed word of 30, and no strangers.
+    assert sum(removed[i] for i in range(60)) == 0
+    assert sum(removed[60 + i] for i in range(60)) >= 48
+
+
+def test_names_meet_as_in_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(2**63), 2**63, 40)
+    names = np.unique([int(x) ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for x in base for k in (0, 2, 4, 7, 9)])
+    distinct = spark.createDataFrame([(i, int(x)) for i, x in enumerate(names)], "id long, sim long")
+    groups = {}
+    for r in lines.meetings(distinct, 7).collect():
+        groups.setdefault(r["g"], set()).add(r["id"])
+    met = {(a, b) for own in groups.values() for a in own for b in own if a < b}
+    near = {(a, b) for a in range(len(names)) for b in range(a + 1, len(names)) if ((int(names[a]) ^ int(names[b])) & (2**64 - 1)).bit_count() <= lines.BITS}
+    assert near and near <= met
