@@ -116,7 +116,7 @@ def low_branches(blocks: DataFrame, least_pages: int, threshold: float) -> DataF
     of the number of pages: 0 if all have one text, 1 if none share any. Presentation importance is the
     entropy of how many blocks the node has. A branch's importance is the mean of its nodes', by pages.
     """
-    each = blocks.groupBy("host", "path", F.xxhash64("text").alias("t"), "page").agg(F.count("*").alias("k"))
+    each = blocks.groupBy("host", "path", F.xxhash64("text").alias("t"), "page").agg(F.size(F.collect_set("pos")).alias("k"))
     texts = each.groupBy("host", "path", "t").agg(F.count("*").alias("n"))
     shapes = each.groupBy("host", "path", "page").agg(F.sum("k").alias("k")).groupBy("host", "path", "k").agg(F.count("*").alias("n"))
     pages = shapes.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("e"))
@@ -140,12 +140,14 @@ def extract(pages: DataFrame, least_pages: int = 10, threshold: float = 0.2) ->
     branches of less importance than ``threshold`` on hosts with ``least_pages`` or more pages of the branch.
     If the page has an article or main element, only blocks inside count. References are decoded, white space
     inside a block is one space; ``br`` is white space. Null or empty html, and pages without an article, give
-    an empty text. Each repeated row counts as a page of its own; rows without url share a host without name.
+    an empty text. Pages of a host whose blocks outside these are equal count as one; rows without url share a host without name.
     Other columns stay; columns called ``text``, ``host``, ``blocks`` or ``low`` are replaced.
     """
     pages = pages.drop("text", "host", "blocks", "low", "_page").withColumn("_page", F.monotonically_increasing_id())
     found = written(parsed(pages), "blocks")
-    rows = found.select("host", F.col("_page").alias("page"), F.explode("blocks").alias("b")).where("not b.hidden").select("host", "page", "b.path", "b.text")
+    # Copies of a page say nothing of the template: each content, but for what is hidden, is one page of its host.
+    own = F.filter("blocks", lambda b: ~b["hidden"])
+    rows = found.select("host", F.xxhash64(own).alias("page"), F.posexplode(own).alias("pos", "b")).select("host", "page", "pos", "b.path", "b.text")
     low = written(low_branches(rows, least_pages, threshold), "low")
     # Small unless templates are many: Spark then sends it to all executors, and otherwise splits large hosts.
     joined = found.join(low, "host", "left")

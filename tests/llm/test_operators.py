@@ -249,3 +249,11 @@ def test_names_meet_as_in_brute_force(spark):
     met = {(a, b) for own in groups.values() for a in own for b in own if a < b}
     near = {(a, b) for a in range(len(names)) for b in range(a + 1, len(names)) if ((int(names[a]) ^ int(names[b])) & (2**64 - 1)).bit_count() <= lines.BITS}
     assert near and near <= met
+
+
+def test_style_tree_of_copies(spark):
+    # Two articles in many copies each, on two hosts: one of copies alone, one with further pages.
+    body = lambda i: f"<article><h1>Head {i}</h1><p>text of article {i}</p></article><section><p>the same on every page</p></section>"
+    rows = [(i, f"http://c.org/{i}", body(i % 2)) for i in range(30)] + [(100 + i, f"http://d.org/{i}", body(0 if i < 60 else i)) for i in range(80)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {n: "Head {0}\ntext of article {0}".format(i) for n, i in [(i, i % 2) for i in range(30)] + [(100 + i, 0 if i < 60 else i) for i in range(80)]}
