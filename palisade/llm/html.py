@@ -28,8 +28,11 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        # Tag, path, hidden by HTML, in an article or main element, and what the word list hides it by: numbers of elements.
+        self.open: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
+        self.blocks: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
+        self.named = 0
+        self.holders: dict[str, list[tuple[int, ...]]] = {"article": [], "main": []}
         self.parts: list[str] = []
 
     def flush(self) -> None:
@@ -38,8 +41,7 @@ class Page(HTMLParser):
             self.parts = []
             if text:
                 at = next((x for x in reversed(self.open) if x[0] in BLOCK or not x[0]), self.open[0])
-                hidden, main = self.open[-1][2], self.open[-1][3]
-                self.blocks.append((at[1], text, hidden, main))
+                self.blocks.append((at[1], text, *self.open[-1][2:]))
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -56,14 +58,22 @@ class Page(HTMLParser):
                     break
                 if self.open[i][0] in BLOCK and self.open[i][0] != "p":
                     break
-        _, path, hidden, main = self.open[-1]
+        _, path, hidden, main, by = self.open[-1]
         named = {k: v or "" for k, v in attrs}
         style = " ".join(named.get(k, "") for k in ("class", "id", "role")).lower().strip()
-        around = bool(style) and AROUND.search(style) is not None
+        # An article in another one is a comment, by HTML.
+        holds = tag in ("html", "body", "main") or (tag == "article" and all(x[0] != "article" for x in self.open))
+        around = bool(style) and not holds and AROUND.search(style) is not None
         head = tag == "header" and not main
-        if hidden_now := hidden or tag in HIDDEN or around or head or "hidden" in named:
+        hidden_now = hidden or tag in HIDDEN or head or "hidden" in named
+        if around:
+            self.named += 1
+            by = (*by, self.named)
+        if hidden_now or by:
             self.flush()
-        self.open.append((tag, f"{path}/{tag}" + (f"[{style}]" if style else ""), hidden_now, main or (tag in ("article", "main") and not hidden_now)))
+        if tag in self.holders and holds and not hidden_now:
+            self.holders[tag].append(by)
+        self.open.append((tag, f"{path}/{tag}" + (f"[{style}]" if style else ""), hidden_now, main or (tag in ("article", "main") and not hidden_now), by))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -75,7 +85,7 @@ class Page(HTMLParser):
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
-                if tag in BLOCK or any(x[0] in BLOCK for x in self.open[i:]) or self.open[i][2] != self.open[i - 1][2]:
+                if tag in BLOCK or any(x[0] in BLOCK for x in self.open[i:]) or self.open[i][2] != self.open[i - 1][2] or self.open[i][4] != self.open[i - 1][4]:
                     self.flush()
                 del self.open[i:]
                 return
@@ -86,7 +96,9 @@ class Page(HTMLParser):
     def done(self) -> list[tuple[str, str, bool, bool]]:
         self.close()
         self.flush()
-        return self.blocks
+        # Elements around the outermost articles, and around the outermost main, aren't hidden by their names.
+        spared = {n for found in self.holders.values() for by in found if len(by) == min(map(len, found)) for n in by}
+        return [(path, text, hidden or not spared.issuperset(by), main) for path, text, hidden, main, by in self.blocks]
 
 
 def blocks_of(html: str | None) -> list[tuple[str, str, bool, bool]]:
@@ -138,7 +150,8 @@ def extract(pages: DataFrame, least_pages: int = 10, threshold: float = 0.2) ->
     Same-host pages are merged into a tree of style paths (tags with class, id and role). What HTML or a class
     says is a menu, header, footer, sidebar, notice, advert, form, script or comment is left out; so are
     branches of less importance than ``threshold`` on hosts with ``least_pages`` or more pages of the branch.
-    If the page has an article or main element, only blocks inside count. References are decoded, white space
+    Names hide no html, body, main or article element, nor one around the page's outermost articles or main; an
+    article inside an article may be a comment. If the page has an article or main element, only blocks inside count. References are decoded, white space
     inside a block is one space; ``br`` is white space. Null or empty html, and pages without an article, give
     an empty text. Pages of a host whose blocks outside these are equal count as one; rows without url share a host without name.
     Other columns stay; columns called ``text``, ``host``, ``blocks`` or ``low`` are replaced.

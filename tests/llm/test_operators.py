@@ -257,3 +257,12 @@ def test_style_tree_of_copies(spark):
     rows = [(i, f"http://c.org/{i}", body(i % 2)) for i in range(30)] + [(100 + i, f"http://d.org/{i}", body(0 if i < 60 else i)) for i in range(80)]
     found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found == {n: "Head {0}\ntext of article {0}".format(i) for n, i in [(i, i % 2) for i in range(30)] + [(100 + i, 0 if i < 60 else i) for i in range(80)]}
+
+
+def test_names_hide_no_article():
+    shown = lambda page: [text for _, text, hidden, _ in html.blocks_of(page) if not hidden]
+    article = "<article class='post hentry no-comments'><p>own</p><div class='share'>s</div><div class='comments'><article class='comment'>c</article></div></article>"
+    assert shown(f"<html class='js no-hidden'><body class='single right-sidebar'>{article}</body></html>") == ["own"]
+    assert shown(f"<body><div class='no-sidebar'><div id='search'>{article}</div></div><div class='sidebar'>x</div></body>") == ["own"]
+    assert shown(f"<main class='search-results'><div class='no-sidebar'>{article}<div class='comments'><article>c</article></div></div></main>") == ["own"]
+    assert shown("<div class='no-menu'><main>own</main></div><div class='menu'>m</div>") == ["own"]
