@@ -16,14 +16,17 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
-#: Not secrets: UUIDs, digests written in hex or with a prefix, plain numbers, dotted or dashed words.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Lengths of digests in hex.
+DIGESTS = (32, 40, 56, 64, 96, 128)
+#: Not secrets: UUIDs, digests written in hex or with a prefix, plain numbers, words joined by signs.
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
-    r"|(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-:=])?(?:[0-9a-f]+|[0-9A-F]+)"
+    r"|(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-:=])?(?:"
+    + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in DIGESTS)
+    + r")"
     r"|[0-9+/_=-]+"
-    r"|(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[/_-]+(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*"
-    r"|(?:[A-Z]?[a-z]{3,})+[0-9]{0,4}"
+    r"|(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[/_-]+(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))+"
 )
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -48,9 +51,9 @@ def find_spans(text: str | None, encode, max_chars_per_token: float) -> list[tup
 def scan(docs: DataFrame, vocabulary: str, text: str = "text", max_chars_per_token: float = 1.9) -> DataFrame:
     """``docs`` with a column ``spans``: kind, start and end (code points, end exclusive).
 
-    ``vocabulary``: a tiktoken rank file. A string of 20 or more letters, digits and ``+/_=-`` that
-    holds a digit is random if it has fewer than ``max_chars_per_token`` characters a token; UUIDs,
-    hex digests, numbers and compound identifiers are left out first.
+    ``vocabulary``: a tiktoken rank file. A string of 20 or more letters, digits and ``+/_=-`` is
+    random if it has fewer than ``max_chars_per_token`` characters a token; UUIDs, hex of the lengths
+    of digests, numbers and words joined by signs are left out first.
     Null and empty texts have no spans; repeated rows are scanned alike; other columns stay, whatever
     their names, and a column ``spans`` is replaced. Nothing is shuffled.
     """

@@ -266,3 +266,12 @@ def test_names_hide_no_article():
     assert shown(f"<body><div class='no-sidebar'><div id='search'>{article}</div></div><div class='sidebar'>x</div></body>") == ["own"]
     assert shown(f"<main class='search-results'><div class='no-sidebar'>{article}<div class='comments'><article>c</article></div></div></main>") == ["own"]
     assert shown("<div class='no-menu'><main>own</main></div><div class='menu'>m</div>") == ["own"]
+
+
+def test_secrets_of_letters_and_of_odd_hex():
+    encode = rank_encoding(RANKS).encode_ordinary
+    kinds = lambda x: [k for k, _, _ in secrets.find_spans(x, encode, 1.9)]
+    for secret in ("QxZvKjWqPzRtLmXbNcVg", "qxzvkjwqpzrtlmxbncvgkq", "9f3c0a7be1d45286fb0c7", "9F3C0A7BE1D45286FB0C7A913D5E8", "9F3C0A7BE1D45286FB0C7A913D5E8B604C"):
+        assert kinds(f"key {secret} end") == ["random"], secret
+    for known in ("9F3C0A7BE1D45286FB0C7A913D5E8B60", "internationalization", "getApplicationConfigurationName", "some-dashed-words-in-lines"):
+        assert kinds(f"see {known} end") == [], known
