@@ -153,7 +153,8 @@ def jaccard_links(docs: DataFrame, names: DataFrame, width: int, percent: int) -
 
     Index: a set's shingles are ordered by rarity. Of n shingles two linked sets share one among the first
     n - ceil(n * percent / 100) + 1 of each; shingles of a single set come first and lead nowhere, so most
-    sets drop out. Lists are skipped by size and position; answers inside a list are derived from its leader's.
+    sets drop out. Pairs are left out by size and position, row by row; members of a list are compared with
+    its leader first.
     Pairs across components are verified only if their parity maps leave room for the overlap, which no link fails.
     """
     total = names.agg(F.sum("n_shingles")).first()[0] or 0
