@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Characters that are laid out at a time, about; a longer text is laid out whole.
+LAID = 1_000_000
+#: Links that a task looks at together, about.
+PART = 1_000_000
+
+
+def chunks(texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of ``LAID`` characters, about, each with the place of its first; nulls are empty."""
+    own, size, at = [], 0, 0
+    for x in texts:
+        own.append(x or "")
+        size += len(own[-1]) + 1
+        if size >= LAID:
+            yield at, own
+            at, own, size = at + len(own), [], 0
+    if own:
+        yield at, own
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
     """``flat[starts[i]:starts[i + 1]]`` of each i in ``which``, end to end."""
     sizes = starts[which + 1] - starts[which]
@@ -40,6 +60,52 @@ def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarra
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + sizes, sizes)]
 
 
+def joined_up(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """The smallest place that each of ``size`` places is linked to, over any number of links ``(i, j)``."""
+    label = np.arange(size)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[i], label[j])
+        for side in (i, j):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect just what ``links`` connects: in each part of about ``PART`` links, one at most for each id.
+
+    So a group of k ids with links by the square of k goes on with about k of them. A part's ids are what a task holds.
+    """
+
+    def trees(batches):
+        own: list[np.ndarray] = []
+        n, most = 0, 2 * PART
+
+        def flush() -> np.ndarray:
+            ids, place = np.unique(np.concatenate(own), return_inverse=True)
+            i, j = place.reshape(-1, 2).T
+            label = joined_up(i, j, len(ids))
+            some = np.flatnonzero(label != np.arange(len(ids)))
+            return np.stack([ids[label[some]], ids[some]], axis=1).ravel()
+
+        for batch in batches:
+            own.append(batch[["a", "b"]].to_numpy(np.int64).ravel())
+            n += len(batch)
+            if n > most:
+                own = [flush()]
+                n = len(own[0]) // 2
+                most = 2 * max(n, PART)
+        if own:
+            a, b = flush().reshape(-1, 2).T
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return links.coalesce(max(1, links.count() // PART)).mapInPandas(trees, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every id in ``links(a, b)``; component is the smallest id reachable.
 
@@ -73,6 +139,7 @@ def grouped_links(
     rounds: int = 2,
     detail: Callable[[DataFrame], DataFrame] | None = None,
     close: Callable[[str, str], Column] | None = None,
+    lead: str = "id",
 ) -> DataFrame:
     """Links ``(a, b)`` that connect just what all verified pairs would connect.
 
@@ -86,7 +153,8 @@ def grouped_links(
     lists the groups of an id in one order for all: a pair is then looked at in its first common group only,
     which must be the one where ``admissible`` holds if it does in any. Without it the order is that of ``g``.
     ``detail(ids)`` gives further columns by ``id`` for the pairs across components, and ``close(left, right)``
-    is a condition on them without which a pair cannot be a link.
+    is a condition on them, or on the postings, without which such a pair isn't looked at. The first leader of a group is its
+    member with the least ``lead``.
     """
     found = None
     tried = None
@@ -95,7 +163,7 @@ def grouped_links(
         own = postings if labels is None else postings.join(labels, "id", "left")
         own = own.withColumn("c", F.coalesce("c", "id") if labels is not None else F.col("id"))
         if n < rounds:
-            pick = F.struct(F.xxhash64("c", F.lit(n)) if n else F.col("id"), F.col("id"))
+            pick = F.struct(F.xxhash64("c", F.lit(n)) if n else F.col(lead), F.col("id"))
         else:
             sizes = own.groupBy("g", "c").agg(F.count("*").alias("size"))
             main = sizes.groupBy("g").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("k")).where("k > 1")
@@ -127,7 +195,7 @@ def grouped_links(
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         links = written(verify(pairs).select("a", "b"), "links")
-        found = links if found is None else found.unionByName(links)
+        found = written(forest(links if found is None else found.unionByName(links)), "forest")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n < rounds:
             labels = near_labels(found)
