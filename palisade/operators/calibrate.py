@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.globs import matches_any
+from palisade.functions.re2 import to_java
+
 
 def fitted_budget(files: DataFrame, *by: str) -> DataFrame:
     """Twice the exact 75th percentile of changed lines a change."""
@@ -27,6 +30,95 @@ def ratchet(now: DataFrame, before: DataFrame, *by: str) -> DataFrame:
     return both.withColumn("failed", F.col("n_now") > F.col("n_before"))
 
 
+def net_new(now: DataFrame, before: DataFrame, *by: str) -> DataFrame:
+    """The names that the baseline lacks."""
+    return now.join(before.select(*by).distinct(), list(by), "left_anti").select(*by).distinct()
+
+
+def demotions(audited: DataFrame, current: dict[str, str]) -> DataFrame:
+    """``rule_id, severity``: rules to be demoted from error to warn; none is ever promoted, other severities stay."""
+    errors = [r for r, s in current.items() if s == "error"]
+    return audited.where(F.col("demote") & F.col("rule_id").isin(*errors)).select("rule_id", F.lit("warn").alias("severity"))
+
+
+def style(name: Column) -> Column:
+    """How a name is written; a single word in small letters says nothing."""
+    return (
+        F.when(name.rlike("^[a-z][a-z0-9]*\\z"), F.lit(None)).when(name.rlike("^[a-z0-9]+(?:_[a-z0-9]+)+\\z"), "snake")
+        .when(name.rlike("^[a-z0-9]+(?:-[a-z0-9]+)+\\z"), "kebab").when(name.rlike("^[a-z][A-Za-z0-9]*\\z"), "camel")
+        .when(name.rlike("^[A-Z][A-Za-z0-9]*\\z"), "pascal").otherwise("other")
+    )
+
+
+def drift(rows: DataFrame, group: str, form: str, share: float) -> DataFrame:
+    """Rows whose form isn't the one that at least ``share`` of their group has; rows without a form count nowhere, and a group without such a majority says nothing."""
+    known = rows.where(F.col(form).isNotNull())
+    return known.join(dominant(known, group, form, share), group).where(F.col(form) != F.col("dominant"))
+
+
+def fingerprint(functions: DataFrame, language: str = "lang") -> DataFrame:
+    """By language: number of functions, mean size and commonest style of name, of ``functions(lang, name, size)``."""
+    named = functions.withColumn("style", style(F.col("name")))
+    styles = named.where("style is not null").groupBy(language, "style").agg(F.count("*").alias("n")).groupBy(language).agg(F.max_by("style", F.struct("n", "style")).alias("style"))
+    sizes = named.groupBy(language).agg(F.count("*").alias("n_functions"), F.avg("size").alias("mean_size"))
+    return sizes.join(styles, language, "left")
+
+
+def architecture(lines: DataFrame, rules: list[dict], languages: tuple[str, ...]) -> DataFrame:
+    """``change_id, path, line_no, rule_id`` of lines of a rule's language whose call its pattern finds outside the paths that may.
+
+    A rule: ``id, lang, pattern, allowed`` (patterns of paths). A language that isn't among ``languages`` is an error.
+    """
+    hits = []
+    for r in rules:
+        if r["lang"] not in languages:
+            raise ValueError(f"unknown language {r['lang']!r} in rule {r['id']!r}")
+        hits.append(F.when((F.col("lang") == r["lang"]) & F.col("text").rlike(to_java(r["pattern"])) & ~matches_any(F.col("path"), r["allowed"]), F.lit(r["id"])))
+    return lines.select("change_id", "path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("rule_id"))
+
+
+def entropy(text: Column) -> Column:
+    """Bits a sign of a string, by how often each sign occurs in it."""
+    signs = F.filter(F.split(text, ""), lambda c: c != "")
+    n = F.size(signs).cast("double")
+    share = lambda c: F.size(F.filter(signs, lambda x: x == c)) / n
+    return F.aggregate(F.array_distinct(signs), F.lit(0.0), lambda total, c: total - share(c) * F.log2(share(c)))
+
+
+def secrets(lines: DataFrame, shapes: dict[str, str], least_entropy: float = 4.0, least_length: int = 20) -> DataFrame:
+    """``change_id, path, line_no, rule_id, severity``: lines with a known shape of key are errors, quoted strings of high entropy warnings."""
+    known = [F.when(F.col("text").rlike(to_java(p)), F.struct(F.lit(f"secret/{n}").alias("rule_id"), F.lit("error").alias("severity"))) for n, p in shapes.items()]
+    quoted = F.regexp_extract_all("text", F.lit(rf"[\"']([A-Za-z0-9+/_=-]{{{least_length},}})[\"']"), F.lit(1))
+    odd = F.when(F.exists(quoted, lambda x: entropy(x) >= least_entropy), F.struct(F.lit("secret/entropy").alias("rule_id"), F.lit("warn").alias("severity")))
+    found = lines.select("change_id", "path", "line_no", F.explode(F.array_compact(F.array(*known, odd))).alias("r"))
+    return found.select("change_id", "path", "line_no", "r.rule_id", "r.severity")
+
+
+def lcov(reports: DataFrame, *key: str) -> DataFrame:
+    """``key..., path, line_no, hit`` of ``reports(key..., text)`` in lcov's format: a file's lines follow its name, records end on their own line."""
+    record = F.explode(F.split("text", "\nend_of_record\n?"))
+    parts = reports.select(*key, record.alias("r")).select(*key, F.regexp_extract("r", "(?m)^SF:(.*)$", 1).alias("path"), F.explode(F.regexp_extract_all("r", F.lit("(?m)^DA:([0-9]+,[0-9]+)"), F.lit(1))).alias("d"))
+    number = lambda i: F.get(F.split("d", ","), F.lit(i)).cast("long")
+    return parts.where("path <> ''").select(*key, "path", number(0).alias("line_no"), (number(1) > 0).alias("hit"))
+
+
+def go_cover(reports: DataFrame, *key: str) -> DataFrame:
+    """The same of Go's cover profiles: each block covers all lines from its first to its last; a line is hit if any of its blocks is."""
+    line = F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^(\S+:[0-9]+\.[0-9]+,[0-9]+\.[0-9]+ [0-9]+ [0-9]+)$"), F.lit(1)))
+    shape = r"^(.*):([0-9]+)\.[0-9]+,([0-9]+)\.[0-9]+ [0-9]+ ([0-9]+)$"
+    part = lambda i: F.regexp_extract("l", shape, i)
+    blocks = reports.select(*key, line.alias("l")).select(*key, part(1).alias("path"), F.explode(F.sequence(part(2).cast("long"), part(3).cast("long"))).alias("line_no"), (part(4).cast("long") > 0).alias("hit"))
+    return blocks.groupBy(*key, "path", "line_no").agg(F.bool_or("hit").alias("hit"))
+
+
+def cobertura(reports: DataFrame, *key: str) -> DataFrame:
+    """The same of Cobertura's XML: the lines of each class, under its file's name."""
+    one = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(<class\b[^>]*>.*?</class>)"), F.lit(1)))
+    lines = reports.select(*key, one.alias("c")).select(*key, F.regexp_extract("c", r"<class\b[^>]*\bfilename=\"([^\"]*)\"", 1).alias("path"), F.explode(F.regexp_extract_all("c", F.lit(r"(<line\b[^>]*>)"), F.lit(1))).alias("l"))
+    number = lambda name: F.regexp_extract("l", rf"\b{name}=\"([0-9]+)\"", 1).cast("long")
+    return lines.groupBy(*key, "path", number("number").alias("line_no")).agg(F.bool_or(number("hits") > 0).alias("hit"))
+
+
 def dominant(rows: DataFrame, group: str, form: str, share: float) -> DataFrame:
     """Each group's commonest form, if at least ``share`` of its rows have it."""
     counts = rows.groupBy(group, form).agg(F.count("*").alias("n"))
@@ -34,8 +126,18 @@ def dominant(rows: DataFrame, group: str, form: str, share: float) -> DataFrame:
     return top.select(group, F.col(f"t.{form}").alias("dominant"), F.col("t.n").alias("n_dominant"), "total").where(F.col("n_dominant") >= share * F.col("total"))
 
 
-def coverage(lines: DataFrame, covered: DataFrame, least_percent: int) -> DataFrame:
-    """By change: added lines that can be covered, those that are, and whether the share is below ``least_percent``."""
-    both = lines.join(covered, ["change_id", "line_no"])
+def coverage(lines: DataFrame, covered: DataFrame, least_percent: int, artifacts: DataFrame | None = None) -> DataFrame:
+    """By change: added lines that can be covered, those that are, whether the share is below ``least_percent``, and what became of it.
+
+    ``covered(change_id, path, line_no, hit)``. ``artifacts(change_id, stale)`` says which changes have a report: without one nothing fails
+    (``missing``), and a report older than the change is only told of (``stale``).
+    """
+    both = lines.select("change_id", "path", "line_no").join(covered, ["change_id", "path", "line_no"])
     out = both.groupBy("change_id").agg(F.count("*").alias("coverable"), F.count_if("hit").alias("covered"))
-    return out.withColumn("failed", F.col("covered") * 100 < F.col("coverable") * least_percent)
+    below = F.col("covered") * 100 < F.col("coverable") * least_percent
+    if artifacts is None:
+        return out.withColumn("failed", below)
+    out = lines.select("change_id").distinct().join(artifacts.select("change_id", F.lit(True).alias("_has"), "stale"), "change_id", "left").join(out, "change_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("coverable", "covered")})
+    state = F.when(F.col("_has").isNull(), "missing").when(F.col("stale"), "stale").when(below, "failed").otherwise("passed")
+    return out.select("change_id", "coverable", "covered", (state == "failed").alias("failed"), state.alias("state"))

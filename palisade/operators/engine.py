@@ -1,10 +1,12 @@
-"""The pipeline over findings: union, links, severities, stop at the first block, verdicts, reports."""
+"""The pipeline over findings: union, links, severities, stop at the first block, verdicts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.operators import gates
@@ -36,26 +38,66 @@ def until_first_block(findings: DataFrame) -> DataFrame:
     return findings.withColumn("_blocked", F.coalesce(blocked, F.lit(0))).where("_blocked = 0").drop("_blocked")
 
 
-def evaluate(changes: DataFrame, files: DataFrame, lines: DataFrame, policy: Policy) -> DataFrame:
-    """All findings of all changes in one plan: the gates' unions need no shuffle between them."""
-    changes = gates.detect(changes, policy)
+@dataclass(frozen=True)
+class Tables:
+    """What gates look at, each keyed by ``change_id``; the last two may be lacking."""
+
+    changes: DataFrame
+    files: DataFrame
+    lines: DataFrame
+    manifests: DataFrame | None = None
+    overridden: DataFrame | None = None
+
+
+#: A gate: tables and policy in, findings out. Any function of this shape can be given to :func:`evaluate`.
+Gate = Callable[[Tables, Policy], DataFrame]
+STANDARD: tuple[Gate, ...] = (
+    lambda t, p: gates.branch_policy(t.changes, p),
+    lambda t, p: gates.diff_budget(t.files, p),
+    lambda t, p: gates.ai_patterns(t.lines, p, overridden=t.overridden),
+    lambda t, p: gates.scope(t.files, p, t.manifests, t.changes),
+)
+
+
+def evaluate(tables: Tables, policy: Policy, run: tuple[Gate, ...] = STANDARD) -> DataFrame:
+    """All findings of all changes in one plan: the gates' unions need no shuffle between them.
+
+    Content gates look at agents' changes only, unless the policy says all commits. Rules that a change is let off
+    (:func:`override_ids`) find nothing in it.
+    """
+    changes, files, lines = gates.detect(tables.changes, policy), tables.files, tables.lines
     if policy.apply_gates_to != "all-commits":
         some = gates.applicable(changes, policy).select("change_id")
         files, lines = files.join(some, "change_id", "left_semi"), lines.join(some, "change_id", "left_semi")
-    parts = [gates.branch_policy(changes, policy), gates.diff_budget(files, policy), gates.ai_patterns(lines, policy), gates.scope(files, policy, changes=changes)]
-    found = with_severities(with_docs(reduce(DataFrame.unionByName, parts)), policy.severities)
+    overridden = tables.overridden if tables.overridden is not None else override_ids(changes, policy.mode)
+    seen = replace(tables, changes=changes, files=files, lines=lines, overridden=overridden)
+    found = with_severities(with_docs(reduce(DataFrame.unionByName, (gate(seen, policy) for gate in run))), policy.severities)
     return until_first_block(found) if policy.stop_on_first_block else found
 
 
-def verdicts(changes: DataFrame, findings: DataFrame, mode: str) -> DataFrame:
-    """One row a change, also without findings: counts by severity, whether it blocks, result and exit code."""
+def verdicts(changes: DataFrame, findings: DataFrame, mode: str, errors: DataFrame | None = None, refused: DataFrame | None = None) -> DataFrame:
+    """One row a change, also without findings: counts by severity, gate errors, whether it blocks, result and exit code.
+
+    ``errors(change_id, gate, error)``: gates that failed, which block as findings of severity error do. ``refused(change_id)``:
+    changes that could not be looked at at all, whose exit code is 2.
+    """
     number = lambda s: F.count_if(F.col("severity") == s)
     counts = findings.groupBy("change_id").agg(F.count("*").alias("n_findings"), number("error").alias("n_errors"), number("warn").alias("n_warnings"), number("info").alias("n_info"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = changes.select("change_id").join(counts, "change_id", "left").select("change_id", *[zero(c) for c in ("n_findings", "n_errors", "n_warnings", "n_info")])
-    blocking = (F.col("n_errors") > 0) & F.lit(mode != "warn")
-    result = F.when(blocking, "blocked").when((F.col("n_errors") > 0) & F.lit(mode == "warn"), "warned").otherwise("passed")
-    return out.withColumns({"blocking": blocking, "result": result, "exit_code": blocking.cast("int")})
+    out = changes.select("change_id").join(counts, "change_id", "left")
+    if errors is None:
+        out = out.withColumn("n_gate_errors", F.lit(0))
+    else:
+        out = out.join(errors.groupBy("change_id").agg(F.count("*").alias("n_gate_errors")), "change_id", "left")
+    out = out.select("change_id", *[zero(c) for c in ("n_findings", "n_errors", "n_warnings", "n_info", "n_gate_errors")])
+    serious = (F.col("n_errors") > 0) | (F.col("n_gate_errors") > 0)
+    blocking = serious & F.lit(mode != "warn")
+    result = F.when(blocking, "blocked").when(serious, "warned").otherwise("passed")
+    out = out.withColumns({"blocking": blocking, "result": result, "exit_code": blocking.cast("int")})
+    if refused is None:
+        return out
+    out = out.join(refused.select("change_id", F.lit(True).alias("_refused")).distinct(), "change_id", "left")
+    return out.withColumn("exit_code", F.when(F.col("_refused"), 2).otherwise(F.col("exit_code"))).drop("_refused")
 
 
 def retry_hints(findings: DataFrame) -> DataFrame:
@@ -66,27 +108,6 @@ def retry_hints(findings: DataFrame) -> DataFrame:
     return first.select("change_id", F.row_number().over(order).alias("hint_ord"), "retry_hint")
 
 
-def level(severity: Column) -> Column:
-    return F.when(severity == "error", "error").when(severity == "warn", "warning").otherwise("note")
-
-
-def sarif_results(findings: DataFrame, anchor: str = ".palisade.yml") -> DataFrame:
-    """A SARIF result a finding; one without a file points at the policy file."""
-    return findings.select("change_id", F.concat("gate", F.lit("/"), "rule_id").alias("rule"), level(F.col("severity")).alias("level"), "message", F.coalesce("file", F.lit(anchor)).alias("uri"), F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).cast("long").alias("start_line"))
-
-
-def json_reports(verdict: DataFrame, findings: DataFrame) -> DataFrame:
-    """A JSON document a change: result, findings in order, summary, hints; empty arrays are written as such."""
-    body = F.struct("gate_ord", F.coalesce("file", F.lit("")).alias("o1"), F.coalesce("line", F.lit(0)).alias("o2"), "rule_ord", "gate", "rule_id", "severity", "file", "line", "message", "docs_url")
-    grouped = findings.groupBy("change_id").agg(F.sort_array(F.collect_list(body)).alias("f"))
-    hints = retry_hints(findings).groupBy("change_id").agg(F.sort_array(F.collect_list(F.struct("hint_ord", "retry_hint"))).alias("h"))
-    out = verdict.join(grouped, "change_id", "left").join(hints, "change_id", "left")
-    shown = F.transform(F.coalesce("f", F.array().cast(grouped.schema["f"].dataType)), lambda x: F.struct(*[x[c].alias(c) for c in ("gate", "rule_id", "severity", "file", "line", "message", "docs_url")]))
-    texts = F.transform(F.coalesce("h", F.array().cast(hints.schema["h"].dataType)), lambda x: x["retry_hint"])
-    summary = F.struct(F.col("n_findings").alias("total"), F.col("n_errors").alias("errors"), F.col("n_warnings").alias("warnings"), F.col("n_info").alias("info"))
-    return out.select("change_id", F.to_json(F.struct("result", shown.alias("findings"), summary.alias("summary"), texts.alias("retry_hints"))).alias("report"))
-
-
 def tickets(changes: DataFrame) -> DataFrame:
     """``change_id, ticket``: the key that starts the branch's last segment, in capitals; without one the change is left out."""
     last = F.element_at(F.split("branch", "/"), -1)
@@ -94,13 +115,23 @@ def tickets(changes: DataFrame) -> DataFrame:
     return changes.select("change_id", F.upper(key).alias("ticket")).where("ticket <> ''")
 
 
-def override_ids(changes: DataFrame, mode: str, key: str = "policy-override:") -> DataFrame:
-    """``change_id, rule_id`` from override trailers, each once; none in strict mode."""
-    line = F.explode(F.split(F.coalesce("message", F.lit("")), "\n"))
-    found = changes.where(F.lit(mode != "ci_strict")).select("change_id", line.alias("line"))
-    found = found.select("change_id", F.trim("line").alias("line")).where(F.lower("line").startswith(key))
-    ids = found.select("change_id", F.explode(F.split(F.substring("line", len(key) + 1, 10_000), ",")).alias("rule_id"))
-    return ids.select("change_id", F.trim("rule_id").alias("rule_id")).where("rule_id <> ''").distinct()
+def override_ids(changes: DataFrame, mode: str, key: str = "Policy-Override:") -> DataFrame:
+    """``change_id, rule_id`` that a change is let off, each once: an id for each trailer, as written, and the comma-separated
+    ids of ``env_override``, if there is such a column. None in strict mode."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = F.transform(F.split(F.coalesce("message", F.lit("")), "\n"), trimmed)
+    ids = F.transform(F.filter(lines, lambda x: x.startswith(key)), lambda x: trimmed(F.substring(x, F.lit(len(key) + 1), F.length(x))))
+    if "env_override" in changes.columns:
+        ids = F.concat(ids, F.transform(F.split(F.coalesce("env_override", F.lit("")), ","), trimmed))
+    found = changes.where(F.lit(mode != "ci_strict")).select("change_id", F.explode(ids).alias("rule_id"))
+    return found.where("rule_id <> ''").distinct()
+
+
+def merged_overrides(policy: Policy, overridden: DataFrame, rules: DataFrame) -> DataFrame:
+    """``change_id, rule_id, off_by`` of the rules that are off for a change: by the policy, or by an override of its own."""
+    known = overridden.join(rules.select("rule_id"), "rule_id", "left_semi")
+    by = F.when(F.col("rule_id").isin(*policy.disabled_rules), "policy").otherwise("override") if policy.disabled_rules else F.lit("override")
+    return known.select("change_id", "rule_id", by.alias("off_by"))
 
 
 def unverified(changes: DataFrame, markers: DataFrame) -> DataFrame:

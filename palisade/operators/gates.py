@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +43,17 @@ def applicable(changes: DataFrame, policy: Policy) -> DataFrame:
     return changes if policy.apply_gates_to == "all-commits" else changes.where("is_agent")
 
 
+def go_quoted(text: Column) -> Column:
+    """Double quotes around, and escapes of quotes, backslashes, tabs and line ends inside; other signs as they are."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, name in (('"', '"'), ("\n", "n"), ("\t", "t"), ("\r", "r")):
+        out = F.replace(out, F.lit(raw), F.lit("\\" + name))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
 def branch_policy(changes: DataFrame, policy: Policy) -> DataFrame:
     hit = changes.where(F.col("is_agent") & matches_any(F.col("branch"), policy.protected))
-    quoted = F.concat(F.lit('"'), "branch", F.lit('"'))
+    quoted = go_quoted(F.col("branch"))
     return finding(hit, "branch_policy", rule_id=F.lit("protected-branch"), severity=F.lit("error"), message=F.concat(F.lit("agent commit on protected branch "), quoted), retry_hint=F.concat(F.lit("Move the agent's work off "), quoted, F.lit(" to a branch of its own.")))
 
 
@@ -65,7 +74,7 @@ def budget_groups(files: DataFrame, policy: Policy) -> DataFrame:
 
 def diff_budget(files: DataFrame, policy: Policy) -> DataFrame:
     """Up to three findings a group: each measure that is above its limit; a limit of 0 is none, in an override the global one."""
-    kinds = (("max-lines", "lines", "max_lines", "changed lines"), ("max-files", "files", "max_files", "changed files"), ("max-new-files", "new_files", "max_new_files", "new files"))
+    kinds = (("max-lines", "lines", "max_lines", "changed lines", "line"), ("max-files", "files", "max_files", "changed files", "file"), ("max-new-files", "new_files", "max_new_files", "new files", "new-file"))
 
     def limit(name: str) -> Column:
         out = F.lit(getattr(policy, name))
@@ -73,26 +82,60 @@ def diff_budget(files: DataFrame, policy: Policy) -> DataFrame:
             out = F.when(F.col("budget_group") == n, getattr(o, name) or getattr(policy, name)).otherwise(out)
         return out.cast("long")
 
-    each = F.array(*[F.struct(F.lit(i).alias("rule_ord"), F.lit(rule).alias("rule_id"), F.col(c).alias("actual"), limit(name).alias("allowed"), F.lit(noun).alias("noun")) for i, (rule, c, name, noun) in enumerate(kinds)])
+    each = F.array(*[F.struct(F.lit(i).alias("rule_ord"), F.lit(rule).alias("rule_id"), F.col(c).alias("actual"), limit(name).alias("allowed"), F.lit(noun).alias("noun"), F.lit(one).alias("one")) for i, (rule, c, name, noun, one) in enumerate(kinds)])
     over = budget_groups(files, policy).select("change_id", "budget_group", F.explode(F.filter(each, lambda x: (x["allowed"] > 0) & (x["actual"] > x["allowed"]))).alias("x")).select("change_id", "budget_group", "x.*")
-    where = F.when(F.col("budget_group") == 0, "").otherwise(F.concat(F.lit(" in override "), F.col("budget_group").cast("string")))
-    said = F.concat(F.col("actual").cast("string"), F.lit(" "), "noun", F.lit(", "), F.col("allowed").cast("string"), F.lit(" allowed"), where)
-    return finding(over, "diff_budget", rule_id=F.col("rule_id"), severity=F.lit("error"), message=said, retry_hint=F.concat(F.lit("Commit in smaller parts: "), said, F.lit(".")), rule_ord=F.col("budget_group") * 3 + F.col("rule_ord"))
+    where = F.when(F.col("budget_group") == 0, "").otherwise(F.concat(F.lit(" (override "), F.col("budget_group").cast("string"), F.lit(")")))
+    over = over.withColumns({"where": where, "head": F.concat(F.col("actual").cast("string"), F.lit(" "), "noun", F.lit(" exceeds the "), F.col("allowed").cast("string"))})
+    said = F.concat("head", F.lit(" limit"), "where")
+    hint = F.concat(F.lit("Commit in smaller parts: "), "head", F.lit("-"), "one", F.lit(" budget"), "where", F.lit("."))
+    return finding(over, "diff_budget", rule_id=F.col("rule_id"), severity=F.lit("error"), message=said, retry_hint=hint, rule_ord=F.col("budget_group") * 3 + F.col("rule_ord"))
+
+
+def active(policy: Policy, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, Rule]]:
+    """Rules with their place; disabled ones go before any regex runs."""
+    return [(n, r) for n, r in enumerate(rules) if r.rule_id not in policy.disabled_rules]
+
+
+def ai_patterns(lines: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, overridden: DataFrame | None = None) -> DataFrame:
+    """Every added line that a rule finds, once a rule: the rules are unrolled into one pass over the lines.
+
+    ``overridden(change_id, rule_id)``: rules that a change is let off. Lines are few once a rule has found them, so these go
+    afterwards, by an anti join.
+    """
+    some = active(policy, rules)
+    if not some:
+        return finding(lines.limit(0), "ai_patterns", rule_id=F.lit(""), severity=F.lit(""), message=F.lit(""), retry_hint=F.lit(""))
+    holds = lambda r: reduce(lambda a, b: a | b, (F.contains("text", F.lit(x)) for x in r.needles)) if r.needles else F.lit(True)
+    rows = lines.where(reduce(lambda a, b: a | b, map(holds, (r for _, r in some))))
+    hits = [F.when(holds(r) & F.col("text").rlike(to_java(r.pattern)), F.struct(F.lit(n).alias("rule_ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.retry_hint).alias("retry_hint"))) for n, r in some]
+    found = rows.select("change_id", "path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("r"))
+    found = finding(found, "ai_patterns", file=F.col("path"), line=F.col("line_no").cast("long"), **{c: F.col(f"r.{c}") for c in ("rule_id", "severity", "message", "retry_hint", "rule_ord")})
+    return found if overridden is None else found.join(overridden, ["change_id", "rule_id"], "left_anti").select(found.columns)
+
+
+def read_glob(glob: str | None) -> str | None:
+    """A pattern's regular expression, null for what is no pattern."""
+    try:
+        return None if glob is None else to_regex(glob)
+    except ValueError:
+        return None
+
+
+def manifest_patterns(manifests: DataFrame) -> DataFrame:
+    """``change_id, glob, regex`` of ``manifests(change_id, paths)``: each distinct pattern is read once; regex is null for a bad one."""
 
+    @F.pandas_udf("string")
+    def regex(globs: pd.Series) -> pd.Series:
+        return globs.map(read_glob)
 
-def active(policy: Policy, rules: tuple[Rule, ...] = RULES, overridden: tuple[str, ...] = ()) -> list[tuple[int, Rule]]:
-    """Rules with their place; disabled ones go before any regex runs. Local overrides don't hold in strict mode."""
-    off = {*policy.disabled_rules, *(overridden if policy.mode != "ci_strict" else ())}
-    return [(n, r) for n, r in enumerate(rules) if r.rule_id not in off]
+    each = manifests.select("change_id", F.explode("paths").alias("glob"))
+    return each.join(each.select("glob").distinct().withColumn("regex", regex("glob")), "glob").select("change_id", "glob", "regex")
 
 
-def ai_patterns(lines: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every added line that a rule finds, once a rule: the rules are unrolled into one pass over the lines."""
-    hits = [F.when(F.col("text").rlike(to_java(r.pattern)), F.struct(F.lit(n).alias("rule_ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.retry_hint).alias("retry_hint"))) for n, r in active(policy, rules)]
-    if not hits:
-        hits = [F.lit(None).cast("struct<rule_ord:int,rule_id:string,severity:string,message:string,retry_hint:string>")]
-    found = lines.select("change_id", "path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("r"))
-    return finding(found, "ai_patterns", file=F.col("path"), line=F.col("line_no").cast("long"), **{c: F.col(f"r.{c}") for c in ("rule_id", "severity", "message", "retry_hint", "rule_ord")})
+def manifest_errors(manifests: DataFrame) -> DataFrame:
+    """``change_id, gate, error`` of manifests that can't be read: the gate fails, it doesn't pass."""
+    bad = manifest_patterns(manifests).where("regex is null").groupBy("change_id").agg(F.min("glob").alias("glob"))
+    return bad.select("change_id", F.lit("scope").alias("gate"), F.concat(F.lit("bad pattern in the manifest: "), "glob").alias("error"))
 
 
 def scope(files: DataFrame, policy: Policy, manifests: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
@@ -102,14 +145,9 @@ def scope(files: DataFrame, policy: Policy, manifests: DataFrame | None = None,
     """
     open_ = files.where(~matches_any(F.col("path"), (*IMPLICIT, *policy.allow_always)))
     if manifests is not None:
-        spark = files.sparkSession
-        globs = sorted({r[0] for r in manifests.select(F.explode("paths")).distinct().limit(10_001).collect()})
-        if len(globs) > 10_000:
-            raise ValueError("more than 10,000 different patterns in manifests")
-        regexes = spark.createDataFrame([(g, to_regex(g)) for g in globs], "glob string, regex string")
-        allowed = manifests.select("change_id", F.explode("paths").alias("glob")).join(regexes, "glob")
-        allowed = allowed.groupBy("change_id").agg(F.array_join(F.collect_set(F.concat(F.lit("(?:"), "regex", F.lit(")"))), "|").alias("allowed"))
-        out = open_.join(allowed, "change_id").where(~F.expr("path rlike allowed")).drop("allowed")
+        allowed = manifest_patterns(manifests).where("regex is not null").select(F.col("change_id").alias("_change"), "regex")
+        declared = open_.join(manifests.select("change_id").distinct(), "change_id", "left_semi")
+        out = declared.join(allowed, (F.col("change_id") == F.col("_change")) & F.expr("path rlike regex"), "left_anti")
     elif policy.declared is None:
         if not policy.require_manifest or changes is None:
             return finding(files.limit(0), "scope", rule_id=F.lit(""), severity=F.lit(""), message=F.lit(""), retry_hint=F.lit(""))

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.operators import calibrate, engine, gates
+from palisade.operators import calibrate, engine, gates, reports
 from palisade.operators.policy import RULES, BudgetOverride, Policy
 from palisade.sources import adapters as A
 from palisade.sources import patches
@@ -48,23 +48,30 @@ GROUPS = """groups AS (SELECT change_id, CASE WHEN path LIKE 'promo/%' OR path L
 OVER = """over AS (SELECT change_id, budget_group, rule_ord, rule_id, actual, allowed, noun FROM (
     SELECT change_id, budget_group, 0 AS rule_ord, 'max-lines' AS rule_id, lines AS actual, CASE budget_group WHEN 1 THEN 10000 ELSE 120 END AS allowed, 'changed lines' AS noun FROM groups
     UNION ALL SELECT change_id, budget_group, 1, 'max-files', files, 5, 'changed files' FROM groups UNION ALL SELECT change_id, budget_group, 2, 'max-new-files', new_files, 3, 'new files' FROM groups) WHERE actual > allowed)"""
-SAID = "CAST(actual AS VARCHAR) || ' ' || noun || ', ' || CAST(allowed AS VARCHAR) || ' allowed' || CASE budget_group WHEN 0 THEN '' ELSE ' in override ' || CAST(budget_group AS VARCHAR) END"
+HEAD_SAID = "CAST(actual AS VARCHAR) || ' ' || noun || ' exceeds the ' || CAST(allowed AS VARCHAR)"
+WHERE_SAID = "CASE budget_group WHEN 0 THEN '' ELSE ' (override ' || CAST(budget_group AS VARCHAR) || ')' END"
+SAID = f"{HEAD_SAID} || ' limit' || {WHERE_SAID}"
+HINTED = f"'Commit in smaller parts: ' || {HEAD_SAID} || '-' || CASE rule_id WHEN 'max-lines' THEN 'line' WHEN 'max-files' THEN 'file' ELSE 'new-file' END || ' budget' || {WHERE_SAID} || '.'"
+LET_OFF = """overridden AS (SELECT DISTINCT change_id, rule_id FROM (SELECT change_id, trim(substr(l, 17)) AS rule_id FROM (SELECT change_id, trim(unnest(string_split(message, chr(10)))) AS l FROM changes)
+    WHERE l LIKE 'Policy-Override:%' UNION ALL SELECT change_id, trim(unnest(string_split(env_override, ','))) FROM changes) WHERE rule_id <> '')"""
 PATTERNS = [r.pattern.replace("'", "''") for r in RULES]
 HITS = " UNION ALL ".join(f"SELECT change_id, path, line_no, {n} AS rule_ord, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, '{r.message}' AS message, '{r.retry_hint}' AS retry_hint FROM added_lines WHERE regexp_matches(text, '{p}')" for n, (r, p) in enumerate(zip(RULES, PATTERNS, strict=True)))
 FOUND = f"""found AS (
     SELECT change_id, 0 AS gate_ord, 'branch_policy' AS gate, 'protected-branch' AS rule_id, 'error' AS severity, NULL AS file, CAST(NULL AS BIGINT) AS line, 'agent commit on protected branch "' || branch || '"' AS message,
            'Move the agent''s work off "' || branch || '" to a branch of its own.' AS retry_hint, 0 AS rule_ord FROM detected WHERE prov_source <> 'none' AND (branch = 'main' OR regexp_full_match(branch, 'release/[^/]*'))
-    UNION ALL SELECT change_id, 1, 'diff_budget', rule_id, CASE rule_id WHEN 'max-files' THEN 'warn' ELSE 'error' END, NULL, NULL, {SAID}, 'Commit in smaller parts: ' || {SAID} || '.', budget_group * 3 + rule_ord FROM over
-    UNION ALL SELECT change_id, 2, 'ai_patterns', rule_id, 'error', path, line_no, message, retry_hint, rule_ord FROM ({HITS})
+    UNION ALL SELECT change_id, 1, 'diff_budget', rule_id, CASE rule_id WHEN 'max-files' THEN 'warn' ELSE 'error' END, NULL, NULL, {SAID}, {HINTED}, budget_group * 3 + rule_ord FROM over
+    UNION ALL SELECT change_id, 2, 'ai_patterns', rule_id, 'error', path, line_no, message, retry_hint, rule_ord FROM ({HITS}) h
+        WHERE NOT EXISTS (SELECT 1 FROM overridden o WHERE o.change_id = h.change_id AND o.rule_id = h.rule_id)
     UNION ALL SELECT change_id, 3, 'scope', 'out-of-scope', 'error', path, NULL, path || ' is not in the task''s scope', path || ' is not in the task''s scope; commit it by itself.', 0 FROM files
         WHERE NOT (path LIKE '%.lock' OR path LIKE 'promo/%' OR path LIKE 'large/%' OR path LIKE '.palisade/%'))"""
-ALL = f"WITH {A.CHANGES_SQL}, {A.FILES_SQL}, {A.LINES_SQL}, {DETECT}, {GROUPS}, {OVER}, {FOUND}"
+ALL = f"WITH {A.CHANGES_SQL}, {A.FILES_SQL}, {A.LINES_SQL}, {DETECT}, {GROUPS}, {OVER}, {LET_OFF}, {FOUND}"
+STRICT = ALL.replace(LET_OFF, "overridden AS (SELECT 0 AS change_id, '' AS rule_id WHERE FALSE)")
 #: Change and document ids overlap, so every gate meets in some changes.
 STOPPED = """stopped AS (SELECT * FROM (SELECT *, coalesce(max(CASE severity WHEN 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY change_id ORDER BY gate_ord RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM found) WHERE b = 0)"""
 
 
 def findings(spark: SparkSession, sf_dir: str, policy: Policy = POLICY) -> DataFrame:
-    return engine.evaluate(A.changes(spark, sf_dir), A.files(spark, sf_dir), A.added_lines(spark, sf_dir), policy)
+    return engine.evaluate(engine.Tables(A.changes(spark, sf_dir), A.files(spark, sf_dir), A.added_lines(spark, sf_dir)), policy)
 
 
 @query("file_change_join", f"""WITH {A.FILES_SQL}, parts AS (SELECT l_orderkey AS change_id, {A.PATH} AS path, count(*) AS n_parts FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 10 GROUP BY 1, 2)
@@ -138,8 +145,8 @@ def stop_on_first_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdict_sql(mode: str) -> str:
     blocks = "FALSE" if mode == "warn" else "n_errors > 0"
-    return f"""{ALL}, counts AS (SELECT c.change_id, count(f.change_id) AS n_findings, count(*) FILTER (f.severity = 'error') AS n_errors, count(*) FILTER (f.severity = 'warn') AS n_warnings,
-        count(*) FILTER (f.severity = 'info') AS n_info FROM changes c LEFT JOIN found f ON c.change_id = f.change_id GROUP BY 1)
+    return f"""{STRICT if mode == 'ci_strict' else ALL}, counts AS (SELECT c.change_id, count(f.change_id) AS n_findings, count(*) FILTER (f.severity = 'error') AS n_errors, count(*) FILTER (f.severity = 'warn') AS n_warnings,
+        count(*) FILTER (f.severity = 'info') AS n_info, CAST(0 AS BIGINT) AS n_gate_errors FROM changes c LEFT JOIN found f ON c.change_id = f.change_id GROUP BY 1)
         SELECT *, {blocks} AS blocking, CASE WHEN {blocks} THEN 'blocked' WHEN n_errors > 0 THEN 'warned' ELSE 'passed' END AS result, CASE WHEN {blocks} THEN 1 ELSE 0 END AS exit_code FROM counts"""
 
 
@@ -167,13 +174,7 @@ def retry_hint_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sarif_results", f"{ALL} SELECT change_id, gate || '/' || rule_id AS rule, CASE severity WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'note' END AS level, message, coalesce(file, '.palisade.yml') AS uri, greatest(coalesce(line, 1), 1) AS start_line FROM found")
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.sarif_results(findings(spark, sf_dir))
-
-
-@query("json_reports")
-def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = findings(spark, sf_dir)
-    return engine.json_reports(engine.verdicts(A.changes(spark, sf_dir), found, POLICY.mode), found)
+    return reports.sarif_results(findings(spark, sf_dir))
 
 
 @query("findings_by_gate", f"{ALL} SELECT gate, count(*) AS n_findings, count(DISTINCT change_id) AS n_changes, count(DISTINCT rule_id) AS n_rules FROM found GROUP BY 1")
@@ -194,8 +195,7 @@ def ticket_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.tickets(A.changes(spark, sf_dir))
 
 
-@query("override_trailers", f"""WITH {A.CHANGES_SQL}, l AS (SELECT change_id, trim(unnest(string_split(message, chr(10)))) AS line FROM changes),
-    ids AS (SELECT DISTINCT change_id, trim(unnest(string_split(substr(line, 17), ','))) AS rule_id FROM l WHERE lower(line) LIKE 'policy-override:%') SELECT * FROM ids WHERE rule_id <> ''""")
+@query("override_trailers", f"WITH {A.CHANGES_SQL}, {LET_OFF} SELECT * FROM overridden")
 def override_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.override_ids(A.changes(spark, sf_dir), POLICY.mode)
 
@@ -254,8 +254,9 @@ def rule_precision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At the head every fifth line is gone and every third is as the document has it."""
     lines = A.added_lines(spark, sf_dir)
     raw = A.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("change_id"), F.posexplode(F.split("text", "\n", -1)).alias("p", "raw")).withColumn("line_no", (F.col("p") + 1).cast("long")).drop("p")
-    head = lines.join(raw, ["change_id", "line_no"]).where("line_no % 5 <> 0").withColumn("text", F.when(F.col("line_no") % 3 == 0, F.col("raw")).otherwise(F.col("text")))
     hits = gates.ai_patterns(lines, POLICY).select("change_id", F.col("file").alias("path"), F.col("line").alias("line_no"), "rule_id").join(lines, ["change_id", "path", "line_no"])
+    few = hits.select("change_id", "line_no").distinct()
+    head = lines.join(few, ["change_id", "line_no"], "left_semi").join(raw.join(few, ["change_id", "line_no"], "left_semi"), ["change_id", "line_no"]).where("line_no % 5 <> 0").withColumn("text", F.when(F.col("line_no") % 3 == 0, F.col("raw")).otherwise(F.col("text")))
     return calibrate.precision(hits, head, 20, 0.3).withColumn("acted_rate", F.round("acted_rate", 9))
 
 
@@ -287,7 +288,7 @@ def extension_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT change_id, count(*) AS coverable, count(*) FILTER (hit) AS covered, count(*) FILTER (hit) * 100 < count(*) * 70 AS failed FROM added_lines JOIN c USING (change_id, line_no) GROUP BY 1""")
 def diff_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = A.added_lines(spark, sf_dir)
-    covered = lines.where("line_no % 2 = 1").select("change_id", "line_no", ((F.col("change_id") * 7 + F.col("line_no")) % 10 < 7).alias("hit"))
+    covered = lines.where("line_no % 2 = 1").select("change_id", "path", "line_no", ((F.col("change_id") * 7 + F.col("line_no")) % 10 < 7).alias("hit"))
     return calibrate.coverage(lines, covered, 70)
 
 
@@ -301,3 +302,6 @@ def audit_log_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agent_share_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gates.detect(A.changes(spark, sf_dir), POLICY).groupBy(F.date_trunc("month", "committed_at").alias("month"), "prov_source").agg(F.count("*").alias("n"))
     return found.withColumn("n_month", F.sum("n").over(Window.partitionBy("month")))
+
+
+from palisade.plans import extended  # noqa: E402, F401

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BINARY = r"^Binary files (.+?) and (.+) differ$"
 HUNK = r"^@@ -[0-9]+(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 
 
-def patch_lines(patches: DataFrame, *key: str) -> DataFrame:
-    """Added and removed lines of ``patches(key..., text)``: ``key..., path, op, line_no, text``.
+def stepped(patches: DataFrame, *key: str) -> DataFrame:
+    """The rows of ``patches(key..., text)``: ``pos, raw, sign, h, o, n, body, hunk``, with ``path`` of the file they belong to and ``file_ord``.
 
     A hunk's header says how many old and new lines follow; rows within these counts are its body, whatever they
-    begin with, so text that looks like a header is text. ``line_no`` is the new file's for ``+``, the old file's for ``-``;
-    context counts. A patch is one window partition: its lines depend on all before them.
+    begin with, so text that looks like a header is text. A file begins at its new header, or where binary files are said
+    to differ. A patch is one window partition: its lines depend on all before them.
     """
     rows = patches.select(*key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     order = Window.partitionBy(*key).orderBy("pos")
@@ -26,13 +27,68 @@ def patch_lines(patches: DataFrame, *key: str) -> DataFrame:
     inside = Window.partitionBy(*key, "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     sign = F.substring("raw", 1, 1)
     count = lambda *s: F.sum(F.when(hunk, 0).otherwise(sign.isin(*s).cast("int"))).over(inside)
-    rows = rows.withColumns({"h": F.last("h", ignorenulls=True).over(inside), "o": count(" ", "-"), "n": count(" ", "+")})
+    rows = rows.withColumns({"sign": sign, "hunk": hunk, "h": F.last("h", ignorenulls=True).over(inside), "o": count(" ", "-"), "n": count(" ", "+")})
     body = F.coalesce(~hunk & (F.col("o") <= F.col("h.old_len")) & (F.col("n") <= F.col("h.new_len")) & sign.isin(" ", "+", "-"), F.lit(False))
-    named = F.when(~body & F.col("raw").startswith("+++ "), F.regexp_replace(F.regexp_replace("raw", "^\\+\\+\\+ (?:b/)?", ""), "\t$", ""))
-    rows = rows.withColumns({"body": body, "named": named})
-    rows = rows.withColumn("path", F.last("named", ignorenulls=True).over(before))
-    at = F.when(sign == "+", F.col("h.new_start") + F.col("n") - 1).otherwise(F.col("h.old_start") + F.col("o") - 1)
-    return rows.where(F.col("body") & sign.isin("+", "-")).select(*key, "path", sign.alias("op"), at.alias("line_no"), F.expr("substring(raw, 2)").alias("text"))
+    rows = rows.withColumn("body", body)
+    header = lambda mark: F.when(~F.col("body") & F.col("raw").startswith(mark), F.regexp_replace(F.expr(f"substring(raw, {len(mark) + 1})"), "\t$", ""))
+    binary = F.when(~F.col("body") & F.col("raw").rlike(BINARY), F.struct(F.regexp_extract("raw", BINARY, 1).alias("old"), F.regexp_extract("raw", BINARY, 2).alias("new")))
+    rows = rows.withColumns({"_old": header("--- "), "_new": header("+++ "), "_binary": binary})
+    # The old header that goes with a new one is the last since the new one before it.
+    rows = rows.withColumns({"_last": F.last(F.when(F.col("_old").isNotNull(), F.struct("pos", "_old")), ignorenulls=True).over(before), "_past": F.max(F.when(F.col("_new").isNotNull(), F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    paired = F.col("_new").isNotNull() & (F.col("_last.pos") > F.coalesce("_past", F.lit(-1)))
+    opened = F.when(paired, F.struct(F.col("_last._old").alias("old"), F.col("_new").alias("new"), F.lit(False).alias("is_binary"))).when(F.col("_binary").isNotNull(), F.struct("_binary.old", "_binary.new", F.lit(True).alias("is_binary")))
+    rows = rows.withColumn("opened", opened)
+    bare = lambda c: F.when(F.col(c) == "/dev/null", None).otherwise(F.regexp_replace(c, "^[ab]/", ""))
+    rows = rows.withColumns({"file_ord": F.count("opened").over(before), "_at": F.last("opened", ignorenulls=True).over(before)})
+    return rows.withColumns({"new_path": bare("_at.new"), "old_path": bare("_at.old"), "is_binary": F.col("_at.is_binary")}).withColumn("path", F.coalesce("new_path", "old_path"))
+
+
+def patch_lines(patches: DataFrame, *key: str) -> DataFrame:
+    """Added and removed lines of ``patches(key..., text)``: ``key..., path, op, line_no, text``.
+
+    ``line_no`` is the new file's for ``+``, the old file's for ``-``; context counts. A deleted file's lines have its old path.
+    """
+    rows = stepped(patches, *key)
+    at = F.when(F.col("sign") == "+", F.col("h.new_start") + F.col("n") - 1).otherwise(F.col("h.old_start") + F.col("o") - 1)
+    return rows.where(F.col("body") & F.col("sign").isin("+", "-")).select(*key, "path", F.col("sign").alias("op"), at.alias("line_no"), F.expr("substring(raw, 2)").alias("text"))
+
+
+def patch_files(patches: DataFrame, *key: str) -> DataFrame:
+    """Files of ``patches(key..., text)``: ``key..., file_ord, path, old_path, kind, added, removed, is_binary``.
+
+    A new header without an old one before it opens no file. Kinds follow from the headers: no old file, no new file, two
+    paths, or else a modified file.
+    """
+    rows = stepped(patches, *key).where("file_ord > 0")
+    count = lambda sign: F.count_if(F.col("body") & (F.col("sign") == sign))
+    out = rows.groupBy(*key, "file_ord").agg(*[F.first(c).alias(c) for c in ("path", "old_path", "new_path", "is_binary")], count("+").alias("added"), count("-").alias("removed"))
+    kind = F.when(F.col("old_path").isNull(), "added").when(F.col("new_path").isNull(), "deleted").when(F.col("old_path") != F.col("new_path"), "renamed").otherwise("modified")
+    return out.select(*key, F.col("file_ord").cast("int").alias("file_ord"), "path", F.when(kind == "renamed", F.col("old_path")).alias("old_path"), kind.alias("kind"), "added", "removed", "is_binary")
+
+
+def name_status(listings: DataFrame, *key: str) -> DataFrame:
+    """``git diff --name-status -z`` output of ``listings(key..., text)``: ``key..., path, old_path, kind``.
+
+    Renames and copies name two paths; letters other than A, D, R and C stand for a modified file.
+    """
+    entry = F.explode(F.regexp_extract_all("text", F.lit(r"[RC][0-9]*\x00[^\x00]+\x00[^\x00]+|[ABDMTUX][0-9]*\x00[^\x00]+"), F.lit(0)))
+    parts = listings.select(*key, entry.alias("entry")).select(*key, F.split("entry", "\\x00").alias("p"))
+    letter = F.substring(F.col("p")[0], 1, 1)
+    kind = F.when(letter == "A", "added").when(letter == "D", "deleted").when(letter.isin("R", "C"), "renamed").otherwise("modified")
+    return parts.select(*key, F.element_at("p", -1).alias("path"), F.when(F.size("p") > 2, F.col("p")[1]).alias("old_path"), kind.alias("kind"))
+
+
+def assembled(counts: DataFrame, kinds: DataFrame, lines: DataFrame, *key: str) -> DataFrame:
+    """Changed files from three listings: counts decide which there are, kinds and added lines are joined by path.
+
+    A file without a kind is modified; one without content has no lines. ``lines``: an array of number and text, in order.
+    """
+    content = lines.groupBy(*key, "path").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("lines"))
+    named = kinds.select(*key, "path", F.col("kind").alias("_kind"), F.col("old_path").alias("_old"))
+    own = counts if "old_path" in counts.columns else counts.withColumn("old_path", F.lit(None).cast("string"))
+    out = own.join(named, [*key, "path"], "left").join(content, [*key, "path"], "left")
+    kind = F.coalesce("_kind", F.when(F.col("old_path").isNotNull(), "renamed").otherwise("modified"))
+    return out.select(*key, "path", F.coalesce("old_path", "_old").alias("old_path"), kind.alias("kind"), "added", "removed", "is_binary", F.coalesce("lines", F.array().cast(content.schema["lines"].dataType)).alias("lines"))
 
 
 def numstat(listings: DataFrame, *key: str) -> DataFrame:
