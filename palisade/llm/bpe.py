@@ -158,7 +158,7 @@ def positions(docs: DataFrame, block_chars: int, buckets: int) -> DataFrame:
     return docs.mapInPandas(places, f"block long, doc_ids array<{kind}>, lengths binary, order binary, data binary")
 
 
-def encode(docs: DataFrame, vocabulary: str, block_chars: int = 12_000_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, block_chars: int = 6_000_000) -> DataFrame:
     """``doc_id, ids, decoded`` of each row: the token ids of its whole text as little-endian unsigned 32-bit integers, and the bytes they stand for.
 
     ``vocabulary``: a tiktoken rank file. Pre-tokens are laid out with their positions in blocks; each block

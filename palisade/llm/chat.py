@@ -23,6 +23,8 @@ MARKER = re.compile(r"\s*(?:#+\s*|\*\*|\[|<\|?(?:im_start\|?>)?)?(" + "|".join(N
 WIDTHS = (4, 4, 10, 2, 2, 2)
 ROWS_A_CHUNK = 256
 NEVER = -1e9
+#: Lines that a role is taken to have of all roles' kind, and the share of lines with a marker of their own.
+BACKED, OWN_MARKER = 10.0, 0.04
 
 
 def features(line: str, place: int, first: bool) -> tuple[int, ...]:
@@ -81,7 +83,7 @@ def lines_of(texts: list[str | None], opens: bool) -> list[tuple[int, str, tuple
 
 
 def learn(laid_rows: DataFrame) -> Model:
-    """Counts over all rows whose role is known, summed by Spark into a table of fixed size; add-one smoothing, markers held to say their role."""
+    """Counts over all rows whose role is known, summed by Spark into a table of fixed size, smoothed by all roles' counts; markers are taken to say their role, mostly."""
 
     def count(batches):
         emit = [np.zeros((len(ROLES), w), np.int64) for w in WIDTHS]
@@ -107,13 +109,20 @@ def learn(laid_rows: DataFrame) -> Model:
     state = lambda c: F.array_position(F.array(*map(F.lit, ROLES)), F.col(c)).cast("int") - 1
     edges = ends.select(F.lit(0).alias("kind"), F.when(F.col("k") == 1, len(ROLES)).otherwise(state("before")).alias("i"), state("first").alias("j"), F.lit(1).cast("long").alias("n"))
     counts = inside.unionByName(edges.where("i >= 0 and j >= 0")).groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect()
-    change = np.ones((len(ROLES) + 1, len(ROLES)))
-    emit = [np.ones((len(ROLES), w)) for w in WIDTHS]
+    change = np.zeros((len(ROLES) + 1, len(ROLES)))
+    emit = [np.zeros((len(ROLES), w)) for w in WIDTHS]
     for r in counts:
         ([change, *emit][r["kind"]])[r["i"], r["j"]] += r["n"]
-    total = emit[0].sum(axis=1)
+    change += 3 * (change.sum(axis=0) + 0.5) / (change.sum() + 0.5 * len(ROLES))
+    # Values that a role wasn't seen with are as likely as among all roles, so a rare role gains nothing by them.
+    emit = [t + BACKED * (t.sum(axis=0) + 0.5) / (t.sum() + 0.5 * t.shape[1]) for t in emit]
+    # A marker says its own role, mostly: as likely for each role, however few of its lines are known.
+    strength = max(1000.0, emit[0].sum(axis=1).max())
     for state_ in range(len(ROLES)):
-        emit[0][state_, state_ + 1] += max(50.0, 0.01 * total[state_])
+        prior = np.full(len(ROLES) + 1, OWN_MARKER / 50)
+        prior[state_ + 1] = OWN_MARKER
+        prior[0] = 1 - prior[1:].sum()
+        emit[0][state_] += strength * prior
     log = lambda t: np.log(t / t.sum(axis=1, keepdims=True))
     change = log(change)
     return Model(change[-1], change[:-1], tuple(log(t) for t in emit))
@@ -182,7 +191,9 @@ def format_chats(rows: DataFrame) -> DataFrame:
             out.extend(zip(convs[a:b], chunks[a:b], [-1, *ends[:-1]], ends, strict=True))
         return pd.DataFrame(out, columns=["conv", "chunk", "enter", "leave"])
 
-    n = F.lit(max(1, matrices.sparkSession.conf.get("spark.sql.shuffle.partitions") and 4 * int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # Chunks of a conversation stay together: nine numbers and a few more each.
+    matrices = written(matrices, "matrices")
+    n = F.lit(max(1, matrices.count() // 20_000))
     ends = matrices.withColumn("_part", F.pmod(F.xxhash64("conv"), n)).groupBy("_part").applyInPandas(scan, "conv long, chunk long, enter int, leave int")
 
     def decode(part, a: int, b: int):
@@ -200,7 +211,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
             state = int(x[state])
         out, last = [], None
         for (n, line, seen), role in zip(found, reversed(states), strict=True):
-            if seen[0]:
+            if seen[0] == role + 1:
                 line = line[MARKER.match(line).end() :]
             if last is not None and last == (n, role):
                 out[-1][2].append(line)

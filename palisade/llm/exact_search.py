@@ -11,8 +11,8 @@ from palisade.llm.vectors import dealt, matrix, ranked, usable
 
 FOUND = "query_id long, vec_id long, score long"
 CHUNK = 1024
-#: Components beyond this could leave the range of a long; they are held to it.
-LIMIT = 2**28
+#: Products below this are summed as 64-bit integers, others as Python's.
+LIMIT = 2**62
 
 
 def rotation(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -41,6 +41,16 @@ def rotation(rows: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; those that are no 64-bit integers are an error."""
+    if x.size == 0 or x.shape[1] * int(np.abs(x).max()) * int(np.abs(query).max()) < LIMIT:
+        return (x * query).sum(axis=1)
+    exact = (x.astype(object) * query.astype(object)).sum(axis=1)
+    if max(map(abs, exact)) >= 2**63:
+        raise OverflowError("an inner product leaves the range of a long")
+    return exact.astype(np.int64)
+
+
 def search_group(rows: pd.DataFrame, queries: pd.DataFrame, basis: np.ndarray | None, k: int) -> pd.DataFrame:
     """The best ``k`` rows of one stripe for each query of one block.
 
@@ -50,6 +60,8 @@ def search_group(rows: pd.DataFrame, queries: pd.DataFrame, basis: np.ndarray |
     """
     x, q = matrix(rows["v"], np.int64), matrix(queries["v"], np.int64)
     ids, q_ids = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+    if max(np.abs(x).max(initial=0), np.abs(q).max(initial=0), -x.min(initial=0), -q.min(initial=0)) >= LIMIT:
+        raise OverflowError("a component leaves the range of a long")
     xf, qf = x.astype(float), q.astype(float)
     if basis is not None:
         xf, qf = xf @ basis, qf @ basis
@@ -71,7 +83,7 @@ def search_group(rows: pd.DataFrame, queries: pd.DataFrame, basis: np.ndarray |
             some = np.flatnonzero(row & (ids[own] != q_ids[n]))
             if not len(some):
                 continue
-            score = (x[own][some] * q[n]).sum(axis=1)
+            score = products(x[own][some], q[n])
             scores, names = np.concatenate([best[n][0], score]), np.concatenate([best[n][1], ids[own][some]])
             top = np.lexsort((names, -scores))[:k]
             best[n] = scores[top], names[top]
@@ -84,13 +96,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, s
     """``(query_id, rank, vec_id, score)``: for each query the ``k`` rows of highest integer inner product.
 
     ``rows`` and ``queries`` have ``vec_id`` and ``embedding``; each component x becomes
-    floor(scale * x), held to +-2**28 so that scores stay longs. Ties go to the smaller id. Vectors
+    floor(scale * x). A component or score that leaves the range of a long is an error, never another value. Ties go to the smaller id. Vectors
     that are null or hold null or non-finite components, and null ids, take no part; only vectors of one
     length are compared (empty ones score 0). Rows with the query's id are its own and no candidates;
     repeated rows rank one by one, a repeated query is asked once. Empty tables give no rows. Other
     columns are ignored.
     """
-    ints = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x.cast("double") * scale), F.lit(-LIMIT).cast("long")), F.lit(LIMIT).cast("long")))
+    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     usual = lambda df: df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v"))
     rows, queries = usual(rows), usual(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
     bases = rotation(rows)

@@ -121,22 +121,24 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"host": host, "blocks": parse(F.col("html").cast("string"))}).drop("html")
 
 
-def low_branches(blocks: DataFrame, least_pages: int, threshold: float) -> DataFrame:
+def low_branches(blocks: DataFrame, doubt: float, threshold: float) -> DataFrame:
     """``host, low``: the style paths of each host's tree that its pages' blocks are not to be taken from.
 
     Content importance of a node is 1 minus the mean entropy of its texts over the host's pages, to the base
     of the number of pages: 0 if all have one text, 1 if none share any. Presentation importance is the
-    entropy of how many blocks the node has. A branch's importance is the mean of its nodes', by pages.
+    entropy of how many blocks the node has. What speaks against a node weighs the less the fewer pages have it: of ``m``
+    pages, m to m + ``doubt``. A branch's importance is the mean of its nodes', by pages.
     """
     each = blocks.groupBy("host", "path", F.xxhash64("text").alias("t"), "page").agg(F.size(F.collect_set("pos")).alias("k"))
     texts = each.groupBy("host", "path", "t").agg(F.count("*").alias("n"))
     shapes = each.groupBy("host", "path", "page").agg(F.sum("k").alias("k")).groupBy("host", "path", "k").agg(F.count("*").alias("n"))
     pages = shapes.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("e"))
     content = texts.groupBy("host", "path").agg((F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("h"))
-    nodes = pages.join(content, ["host", "path"]).where(F.col("m") >= least_pages)
+    nodes = pages.join(content, ["host", "path"]).where("m > 1")
     log_m = F.log("m")
     shape = (log_m - F.col("e") / F.col("m")) / log_m
-    nodes = nodes.select("host", "path", "m", (0.9 * (1 - F.col("h") / log_m) + 0.1 * shape).alias("own"))
+    own = 0.9 * (1 - F.col("h") / log_m) + 0.1 * shape
+    nodes = nodes.select("host", "path", "m", (1 - (1 - own) * F.col("m") / (F.col("m") + doubt)).alias("own"))
     names = F.filter(F.split("path", "/"), lambda x: x != "")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(names, F.lit(1), i), "/")))
     branches = nodes.where("path <> ''").select("host", "m", "own", F.explode(ancestors).alias("branch"))
@@ -144,12 +146,12 @@ def low_branches(blocks: DataFrame, least_pages: int, threshold: float) -> DataF
     return low.where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("branch").alias("low"))
 
 
-def extract(pages: DataFrame, least_pages: int = 10, threshold: float = 0.2) -> DataFrame:
+def extract(pages: DataFrame, doubt: float = 2.5, threshold: float = 0.2) -> DataFrame:
     """``pages`` without ``html``, with ``text``: the article's blocks in page order, one to a line.
 
     Same-host pages are merged into a tree of style paths (tags with class, id and role). What HTML or a class
     says is a menu, header, footer, sidebar, notice, advert, form, script or comment is left out; so are
-    branches of less importance than ``threshold`` on hosts with ``least_pages`` or more pages of the branch.
+    branches of less importance than ``threshold``, for which pages that all have one text must be more than 4 * ``doubt``.
     Names hide no html, body, main or article element, nor one around the page's outermost articles or main; an
     article inside an article may be a comment. If the page has an article or main element, only blocks inside count. References are decoded, white space
     inside a block is one space; ``br`` is white space. Null or empty html, and pages without an article, give
@@ -161,7 +163,7 @@ def extract(pages: DataFrame, least_pages: int = 10, threshold: float = 0.2) ->
     # Copies of a page say nothing of the template: each content, but for what is hidden, is one page of its host.
     own = F.filter("blocks", lambda b: ~b["hidden"])
     rows = found.select("host", F.xxhash64(own).alias("page"), F.posexplode(own).alias("pos", "b")).select("host", "page", "pos", "b.path", "b.text")
-    low = written(low_branches(rows, least_pages, threshold), "low")
+    low = written(low_branches(rows, doubt, threshold), "low")
     # Small unless templates are many: Spark then sends it to all executors, and otherwise splits large hosts.
     joined = found.join(low, "host", "left")
     shown = F.filter("blocks", lambda b: ~b["hidden"])

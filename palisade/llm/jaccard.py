@@ -136,7 +136,7 @@ def shared_shingles(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         df = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1]
         some = df > 1
         if not some.any():
-            return pd.DataFrame({"id": [], "n": [], "h": [], "df": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "n", "h", "df")})
         h, ids, sizes, df = h[some], ids[some], sizes[some], df[some]
         order = np.argsort(ids, kind="stable")
         h, ids, sizes, df = h[order].view(np.int64), ids[order], sizes[order], df[order]

@@ -19,6 +19,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Lengths of digests in hex.
 DIGESTS = (32, 40, 56, 64, 96, 128)
+#: A part of words joined by signs; atomic, so that a match takes time in proportion to the length.
+WORD = r"(?>[a-z]{2,}+|[A-Z]{2,}+|[A-Z][a-z]{2,}+|[0-9]{1,4}+)"
 #: Not secrets: UUIDs, digests written in hex or with a prefix, plain numbers, words joined by signs.
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
@@ -26,7 +28,7 @@ KNOWN = re.compile(
     + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in DIGESTS)
     + r")"
     r"|[0-9+/_=-]+"
-    r"|(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[/_-]+(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))+"
+    rf"|{WORD}(?>[/_-]++{WORD})++"
 )
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -39,9 +41,14 @@ def find_spans(text: str | None, encode, max_chars_per_token: float) -> list[tup
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     taken = sorted((a, b) for _, a, b in found)
+    at, past = 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if KNOWN.fullmatch(m[0]) or any(x < b and a < y for x, y in taken):
+        # Candidates come in order: the spans before one's end are looked at once, and only how far they reach counts.
+        while at < len(taken) and taken[at][0] < b:
+            past = max(past, taken[at][1])
+            at += 1
+        if past > a or KNOWN.fullmatch(m[0]):
             continue
         if b - a < max_chars_per_token * len(encode(m[0])):
             found.append(("random", a, b))

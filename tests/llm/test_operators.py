@@ -1,11 +1,12 @@
 """Each operator against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows, no rows and clashing columns."""
 
-import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.llm import bpe, chat, exact_search, html, jaccard, lines, near_search, packing, secrets, toxicity
 from palisade.llm.vocabulary import json_tokenizer, public, rank_encoding
@@ -206,15 +207,135 @@ def test_long_chat_is_decoded_in_chunks(spark, monkeypatch):
     assert len(found) == 700 and all(r["role"] == ("user", "assistant")[r["turn"] % 2] for r in found)
 
 
-@pytest.mark.parametrize("name", ["op1", "op3", "op5"])
-def test_queries_are_registered(name):
+def test_queries_are_registered():
     import __spark_entry__ as E
 
-    assert any(q.startswith(name + "_") for q in E.queries())
+    assert sorted({q.split("_")[0] for q in E.queries() if q.startswith("op")}) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in E.queries()
 
 
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_scores_beyond_single_products(spark):
+    rows = [(0, [1.5e6, -1e6]), (1, [1e6, 1.0]), (2, [-1.5e6, 5e5]), (3, [0.001, -0.001])]
+    found = exact_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), k=3).collect()
+    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    wanted = sorted((-sum(a * b for a, b in zip(ints[0], ints[i], strict=True)), i) for i in (1, 2, 3))
+    assert [(-r["score"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == wanted
+    with pytest.raises(OverflowError):
+        exact_search.products(np.array([[2**40]]), np.array([2**30]))
+
+
+def test_secrets_in_long_texts():
+    encode = rank_encoding(RANKS).encode_ordinary
+    began = time.time()
+    assert [k for k, *_ in secrets.find_spans("ab-" * 30000 + "=", encode, 1.9)] in ([], ["random"])
+    assert len(secrets.find_spans(" ".join(f"password=abcdefgh{i}" for i in range(8000)), encode, 1.9)) == 8000
+    assert len(secrets.find_spans("x" * 99_999 + "1", encode, 1.9)) <= 1
+    assert secrets.find_spans("a" * 35 + "-" + "b" * 35 + "1=", encode, 1.9) is not None
+    assert time.time() - began < 10
+    # A random string that a base span overlaps isn't told of again.
+    assert [k for k, *_ in secrets.find_spans("token=QzXwKpLmNbVcRtYuIoPaSdFgHj", encode, 1.9)] == ["assign"]
+
+
+def plain_viterbi(model, seen):
+    best, back = None, []
+    for x in seen:
+        step = model.new_step(x)
+        total = step[[-1]] if best is None else best[:, None] + step[:-1]
+        back.append(total.argmax(axis=0))
+        best = total.max(axis=0)
+    state, out = int(best.argmax()), []
+    for b in reversed(back):
+        out.append(state)
+        state = int(b[state])
+    return out[::-1]
+
+
+def test_chats_as_by_plain_viterbi(spark):
+    random.seed(3)
+    rows = []
+    for c in range(30):
+        for t in range(random.choice([1, 4, 300])):
+            role = chat.ROLES[1 + t % 2] if t else "system"
+            text = {"system": "be brief", "user": "what is it?", "assistant": "- one\n- two\nUser: three"}[role] * random.randint(1, 2)
+            rows.append((c, t, role, text))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.learn(chat.laid(df).cache())
+    found = {}
+    for r in chat.format_chats(df).orderBy("conv_id", "turn", "segment").collect():
+        found.setdefault((r["conv_id"], r["turn"]), []).append(r["role"])
+    for c in range(30):
+        own = [x for x in rows if x[0] == c]
+        seen = [chat.features(line, place, t == 0 and place == 0) for _, t, _, text in own for place, line in enumerate(text.split("\n"))]
+        states = iter(plain_viterbi(model, seen))
+        for _, t, _, text in own:
+            lines_ = [next(states) for _ in text.split("\n")]
+            assert found[c, t] == [chat.ROLES[x] for i, x in enumerate(lines_) if not i or lines_[i - 1] != x]
+
+
+def test_markers_that_are_text(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "short?" if t % 2 == 0 else "a much longer answer " * 20) for c in range(400) for t in range(6)]
+    rows += [(9999, 0, "user", "User: is it so?\nAssistant: yes"), (9998, 0, None, None)]
+    found = chat.format_chats(spark.createDataFrame(rows + rows[-1:], "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("x"))).collect()
+    assert [(r["role"], r["text"]) for r in sorted(found, key=lambda r: r["segment"]) if r["conv_id"] == 9999] == [("user", "is it so?"), ("assistant", "yes")]
+    assert len([r for r in found if r["conv_id"] == 9998]) == 2
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_words_hide_no_article_text(spark):
+    """Articles whose own classes hold words of the list, over several templates."""
+    frames = [
+        "<body class='has-sidebar'><div class='menu'>m {0}</div><article class='notice-board'><h2>T {0}</h2><p>body {0}</p></article><div class='sidebar'>s</div></body>",
+        "<body><div id='nav'>n</div><main class='comments-closed'><p>T {0}</p><p>body {0}</p></main><footer>f</footer></body>",
+        "<body><div class='wrap'><header>h</header><article><p>T {0}</p><p>body {0}</p><aside>a</aside></article></div></body>",
+    ]
+    rows = [(n * 100 + i, f"http://t{n}.org/{i}", frame.format(i)) for n, frame in enumerate(frames) for i in range(30)] + [(900, "http://t0.org/x", ""), (901, "http://t0.org/y", None)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {n * 100 + i: f"T {i}\nbody {i}" for n in range(3) for i in range(30)} | {900: "", 901: ""}
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_lines_that_repeat(spark):
+    docs = documents(spark, ["a b c\na b c\n--\n--\nd", "A, b; c!\nd\n\n", "x " * 50_000, "x " * 50_000 + "\ny"])
+    rows = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(docs.unionByName(docs.where("doc_id = 1"))).collect()}
+    assert rows[0] == ("a b c\n--\n--\nd", 5, 1) and rows[1] == ("\n", 4, 2) and rows[3] == ("y", 2, 1) and rows[2][2] == 0
+
+
+def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
+    """Small texts through all five stages, and what plain Python makes of them."""
+    import corpus_pipeline
+
+    random.seed(12)
+    syllables = [a + b for a in ("ba", "ne", "ti", "sor", "la", "gu") for b in ("ra", "mo", "li", "den", "su")]
+    words = [x + y for x in syllables for y in syllables]
+    texts = []
+    for i in range(240):
+        own = random.choices(words, k=60)
+        if i % 4 == 0:
+            own[7] = "grumf" + random.choice(["ra", "mo", "li"])
+        texts.append("\n".join(" ".join(own[a : a + 12]) for a in range(0, 60, 12)))
+    clean = [i for i in range(240) if i % 4]
+    extra = [texts[clean[0]].replace("\n", " "), "shared line of some words here\n" + " ".join(random.choices(words, k=40)), "Shared line, of some words here\n" + " ".join(random.choices(words, k=40)), "password=abcdefgh1 " + " ".join(random.choices(words, k=40)), None, ""]
+    texts += extra
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], schema).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, str(tmp_path)).cache()
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert ids >= set(range(240, 246)) and len(ids & set(clean)) >= 0.97 * len(clean) and len(ids & {i for i in range(240) if i % 4 == 0}) <= 4
+    deduped = {r["doc_id"]: r["text"] for r in stages["line dedup"](spark, kept, str(tmp_path)).collect()}
+    assert deduped[241] == texts[241] and deduped[242] == texts[242].split("\n")[1] and deduped[244] is None and set(deduped) == ids
+    near = {r["doc_id"] for r in stages["n-gram Jaccard join"](spark, kept, str(tmp_path)).collect()}
+    assert near == ids - {240}
+    masked = {r["doc_id"]: r["text"] for r in stages["secret scans"](spark, kept, str(tmp_path)).collect()}
+    assert masked[243] == texts[243].replace("password=abcdefgh1", "[secret]") and masked[0 if 0 in masked else 1] == texts[0 if 0 in masked else 1]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    sizes = {}
+    for r in packed:
+        sizes.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    total = sum(r["length"] for r in packed)
+    assert {r["doc_id"] for r in packed} == ids - {240} and len(sizes) == -(-total // 2048)
+    assert all(a + n == b for own in sizes.values() for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False))
 
 
 def test_word_ids_equal_those_of_whole_texts():
