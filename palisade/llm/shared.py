@@ -35,7 +35,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Characters that are laid out at a time, about; a longer text is laid out whole.
-LAID = 1_000_000
+LAID = 300_000
 #: Links that a task looks at together, about.
 PART = 1_000_000
 
