@@ -127,7 +127,7 @@ def nearest(
     confidence: float = 0.85,
     leaf_rows: int = 64,
     stripe_rows: int = 32768,
-    block_rows: int = 1024,
+    block_rows: int = 16384,
     seed: int = 7,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query ``k`` rows of large inner product, in double precision.

@@ -18,7 +18,8 @@ def usable(vector: Column) -> Column:
 def dealt(rows: DataFrame, queries: DataFrame, stripe_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both frames ``(vec_id, v)`` with ``dim, stripe, block``: each pair of a query and a row of one length meets in one group.
 
-    Stripes and blocks have bounded sizes, so a group fits a task at any input size.
+    Stripes and blocks have bounded sizes, so a group fits a task at any input size. A row is sent once for each block of queries,
+    a query once for each stripe, so blocks are as large as a task's memory bears, not as small as one product of matrices.
     """
     stripes = max(1, -(-rows.count() // stripe_rows))
     blocks = max(1, -(-queries.count() // block_rows))
