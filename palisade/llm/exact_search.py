@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from palisade.llm.vectors import dealt, matrix, ranked, usable
 
 FOUND = "query_id long, vec_id long, score long"
-CHUNK = 1024
+#: Rows, and queries, that are bounded at a time.
+CHUNK, ASKED = 1024, 4096
 #: Products below this are summed as 64-bit integers, others as Python's.
 LIMIT = 2**62
 
@@ -78,21 +79,22 @@ def search_group(rows: pd.DataFrame, queries: pd.DataFrame, basis: np.ndarray |
         live = np.flatnonzero(q_norms * norms[at] + slack >= floor)
         if not len(live):
             break
-        bound = qf[live, :half] @ xf[own, :half].T + np.outer(q_rest[live], rest[own]) + slack[live, None]
-        for row, n in zip(bound >= floor[live, None], live, strict=True):
-            some = np.flatnonzero(row & (ids[own] != q_ids[n]))
-            if not len(some):
-                continue
-            score = products(x[own][some], q[n])
-            scores, names = np.concatenate([best[n][0], score]), np.concatenate([best[n][1], ids[own][some]])
-            top = np.lexsort((names, -scores))[:k]
-            best[n] = scores[top], names[top]
-            if len(top) == k:
-                floor[n] = scores[top[-1]]
+        for some_live in np.array_split(live, -(-len(live) // ASKED)):
+            bound = qf[some_live, :half] @ xf[own, :half].T + np.outer(q_rest[some_live], rest[own]) + slack[some_live, None]
+            for row, n in zip(bound >= floor[some_live, None], some_live, strict=True):
+                some = np.flatnonzero(row & (ids[own] != q_ids[n]))
+                if not len(some):
+                    continue
+                score = products(x[own][some], q[n])
+                scores, names = np.concatenate([best[n][0], score]), np.concatenate([best[n][1], ids[own][some]])
+                top = np.lexsort((names, -scores))[:k]
+                best[n] = scores[top], names[top]
+                if len(top) == k:
+                    floor[n] = scores[top[-1]]
     return pd.DataFrame({"query_id": np.repeat(q_ids, [len(s) for s, _ in best]), "vec_id": np.concatenate([np.empty(0, np.int64), *(i for _, i in best)]), "score": np.concatenate([np.empty(0, np.int64), *(s for s, _ in best)])})
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, stripe_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, stripe_rows: int = 16384, block_rows: int = 32768) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query the ``k`` rows of highest integer inner product.
 
     ``rows`` and ``queries`` have ``vec_id`` and ``embedding``; each component x becomes
