@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.shared import components, grouped_links, written
+from palisade.llm.shared import components, grouped_links, removed, written
 
 #: Odd multipliers that mix the hashes of a shingle's words by place.
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -190,7 +190,9 @@ def jaccard_links(docs: DataFrame, names: DataFrame, width: int, percent: int) -
         differ = differ + F.col(f"{left}.single") + F.col(f"{right}.single")
         return (total - differ) * (100 + percent) >= 2 * total * percent
 
-    return grouped_links(postings, verify, admissible, sets.select("id", head.alias("head")), detail=detail, close=close)
+    links = grouped_links(postings, verify, admissible, sets.select("id", head.alias("head")), detail=detail, close=close)
+    removed(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -204,6 +206,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     names = written(set_names(docs, width), "names")
     links = jaccard_links(docs, names, width, percent)
     nodes = components(links)
+    removed(links)
     # A set's smallest document, then the component's.
     node = names.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
     node = node.join(nodes, "id", "left").withColumn("c", F.coalesce("component", "id"))

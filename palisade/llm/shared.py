@@ -34,6 +34,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` from the shared folder, once all that is made from them is written itself."""
+    for df in tables:
+        jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+
+
 #: Characters that are laid out at a time, about; a longer text is laid out whole.
 LAID = 300_000
 #: Links that a task looks at together, about.
@@ -122,7 +131,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        removed(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -159,6 +169,7 @@ def grouped_links(
     found = None
     tried = None
     labels = None
+    looked: list[DataFrame] = []
     for n in range(rounds + 1):
         own = postings if labels is None else postings.join(labels, "id", "left")
         own = own.withColumn("c", F.coalesce("c", "id") if labels is not None else F.col("id"))
@@ -194,11 +205,14 @@ def grouped_links(
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        looked.append(pairs)
         links = written(verify(pairs).select("a", "b"), "links")
-        found = written(forest(links if found is None else found.unionByName(links)), "forest")
+        before, found = found, written(forest(links if found is None else found.unionByName(links)), "forest")
+        removed(*(x for x in (links, before, labels) if x is not None))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n < rounds:
             labels = near_labels(found)
+    removed(*looked)
     return found
 
 

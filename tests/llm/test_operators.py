@@ -1,5 +1,6 @@
 """Each operator against brute force on small fixtures with nulls, empty and long texts, ties, repeated rows, no rows and clashing columns."""
 
+import os
 import random
 import time
 import zlib
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, chat, exact_search, html, jaccard, lines, near_search, packing, secrets, toxicity
+from palisade.llm import bpe, chat, exact_search, html, jaccard, lines, near_search, packing, secrets, shared, toxicity
 from palisade.llm.vocabulary import json_tokenizer, public, rank_encoding
 
 RANKS, WORDS = public("byte_bpe_50k.tiktoken"), public("word_bpe_49k.json")
@@ -404,3 +405,13 @@ def test_secrets_of_letters_and_of_odd_hex():
         assert kinds(f"key {secret} end") == ["random"], secret
     for known in ("9F3C0A7BE1D45286FB0C7A913D5E8B60", "internationalization", "getApplicationConfigurationName", "some-dashed-words-in-lines"):
         assert kinds(f"see {known} end") == [], known
+
+
+def test_tables_of_finished_steps_are_removed(spark):
+    folder = shared.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    links = shared.written(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), "links")
+    found = shared.components(links)
+    shared.removed(links)
+    assert {r["component"] for r in found.collect()} == {0} and found.count() == 41
+    assert len([x for x in set(os.listdir(folder)) - before if not x.startswith(".")]) == 1
