@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.operators import engine
 from palisade.plans.registry import query
 from palisade.sources import adapters as A
-from palisade.sources import graph
+from palisade.sources import graph, netdiff, patches
 
 #: Orders as commits: 500 to a repository. Of seven, the fourth and fifth are a side branch from the second; the sixth merges it in every other
 #: group and is plain in the others, which leave it a head of its own; in each fifth group it has no parent, a root of its own. Every 13th clock is three hours slow.
@@ -86,3 +86,55 @@ def unverified_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = A.changes(spark, sf_dir).select(F.col("change_id").alias("commit"), "tree_hash", F.lit(False).alias("is_merge"))
     bad = engine.unverified(pushed(spark, sf_dir).join(trees, "commit"), A.markers(spark, sf_dir))
     return bad.groupBy("key").agg(F.count("*").alias("n_unverified"), F.min("commit").alias("first_commit"))
+
+
+#: Lines of documents as lines of files with a life: those of version 0 stand in the base, others come with a commit, and some go with a later one. 50 files make a range of four commits.
+LIFE = {"born": "CASE WHEN (31 * doc_id + 7 * p) % 12 < 6 THEN 0 ELSE (31 * doc_id + 7 * p) % 12 DIV 2 - 2 END", "dies": "CASE (17 * doc_id + 5 * p) % 9 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 99 END"}
+LIVES_SQL = f"""lives AS (SELECT doc_id, doc_id // 50 AS range_id, p, raw, born, CASE WHEN dies > born THEN dies ELSE 99 END AS dies FROM (SELECT doc_id, p, raw, {", ".join(f"{v.replace('DIV', '//')} AS {k}" for k, v in LIFE.items())}
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents)))"""
+#: What is left of removed and added lines once the ends of a gap that agree are taken away.
+NET_SQL = f"""{LIVES_SQL}, ends AS (SELECT *, count(*) FILTER (born = 0) OVER w AS old, count(*) FILTER (born <= 4 AND dies > 4) OVER w AS new, coalesce(max(CASE WHEN born = 0 AND dies > 4 THEN p END) OVER w, -1) AS gap
+        FROM lives WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    net AS (SELECT range_id, doc_id, '-' AS op, old AS line_no, raw, gap FROM ends WHERE born = 0 AND dies <= 4 UNION ALL SELECT range_id, doc_id, '+', new, raw, gap FROM ends WHERE born BETWEEN 1 AND 4 AND dies > 4),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap, op ORDER BY line_no) AS k FROM net),
+    fs AS (SELECT a.doc_id, a.gap, a.k, max(CASE WHEN a.raw = b.raw THEN 0 ELSE 1 END) OVER (PARTITION BY a.doc_id, a.gap ORDER BY a.k) AS off FROM f a JOIN f b USING (doc_id, gap, k) WHERE a.op = '-' AND b.op = '+'),
+    g AS (SELECT f.* EXCLUDE k, row_number() OVER (PARTITION BY doc_id, gap, op ORDER BY line_no DESC) AS k FROM f WHERE NOT EXISTS (SELECT 1 FROM fs WHERE off = 0 AND fs.doc_id = f.doc_id AND fs.gap = f.gap AND fs.k = f.k)),
+    gs AS (SELECT a.doc_id, a.gap, a.k, max(CASE WHEN a.raw = b.raw THEN 0 ELSE 1 END) OVER (PARTITION BY a.doc_id, a.gap ORDER BY a.k) AS off FROM g a JOIN g b USING (doc_id, gap, k) WHERE a.op = '-' AND b.op = '+'),
+    left_over AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM gs WHERE off = 0 AND gs.doc_id = g.doc_id AND gs.gap = g.gap AND gs.k = g.k))"""
+
+
+def range_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(range_id, seq, text)``: the patches of each range's four commits."""
+    rows = A.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "raw")).selectExpr("doc_id", "p", "raw", *[f"{v} AS {k}" for k, v in LIFE.items()])
+    rows = rows.withColumn("dies", F.when(F.col("dies") > F.col("born"), F.col("dies")).otherwise(99)).withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    so_far = Window.partitionBy("doc_id", "seq").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    alive = lambda v: ((F.col("born") <= v) & (F.col("dies") > v)).cast("int")
+    rows = rows.withColumns({"old": F.sum(alive(F.col("seq") - 1)).over(so_far), "new": F.sum(alive(F.col("seq"))).over(so_far)})
+    hunk = lambda old, new, sign: F.concat(F.lit("@@ -"), F.col("old").cast("string"), F.lit(f",{old} +"), F.col("new").cast("string"), F.lit(f",{new} @@\n{sign}"), "raw")
+    text = F.when(F.col("dies") == F.col("seq"), hunk(1, 0, "-")).when(F.col("born") == F.col("seq"), hunk(0, 1, "+"))
+    path = F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    one = rows.withColumn("hunk", text).where("hunk is not null").groupBy("doc_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "hunk"))), lambda x: x["hunk"]), "\n").alias("hunks"))
+    one = one.select(F.floor(F.col("doc_id") / 50).alias("range_id"), "seq", "doc_id", F.concat(F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"), "hunks").alias("t"))
+    return one.groupBy("range_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = patches.patch_lines(range_patches(spark, sf_dir), "range_id", "seq")
+    commit = (10 * F.col("range_id") + F.col("seq")).alias("commit")
+    return netdiff.net_lines(lines.select(F.col("range_id").alias("key"), "seq", commit, "path", "op", "line_no", "text"))
+
+
+@query("range_net_lines", f"WITH {NET_SQL} SELECT range_id, 'src/doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS path, op, line_no, raw AS text FROM left_over")
+def range_net_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each range adds and removes in all, decoded from its commits' patches."""
+    return net(spark, sf_dir).select(F.col("key").alias("range_id"), "path", "op", "line_no", "text")
+
+
+@query("range_net_diff", f"""WITH {NET_SQL}, n AS (SELECT range_id, count(*) AS net_lines FROM left_over GROUP BY 1), s AS (SELECT range_id, count(*) AS sum_lines FROM (SELECT range_id, dies AS v FROM lives WHERE dies <= 4 UNION ALL SELECT range_id, born FROM lives WHERE born BETWEEN 1 AND 4) GROUP BY 1)
+    SELECT range_id, sum_lines, coalesce(net_lines, 0) AS net_lines, sum_lines > 400 AS sum_over, coalesce(net_lines, 0) > 400 AS net_over FROM s LEFT JOIN n USING (range_id)""")
+def range_net_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ranges against a budget: by what their commits change one by one, and by what is left of it."""
+    each = patches.patch_lines(range_patches(spark, sf_dir), "range_id", "seq").groupBy("range_id").agg(F.count("*").alias("sum_lines"))
+    total = net(spark, sf_dir).groupBy(F.col("key").alias("range_id")).agg(F.count("*").alias("net_lines"))
+    out = each.join(total, "range_id", "left").withColumn("net_lines", F.coalesce("net_lines", F.lit(0)))
+    return out.select("range_id", "sum_lines", "net_lines", (F.col("sum_lines") > 400).alias("sum_over"), (F.col("net_lines") > 400).alias("net_over"))
