@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.globs import matches_any
 from palisade.functions.re2 import to_java
+from palisade.sources import code
 
 
 def fitted_budget(files: DataFrame, *by: str) -> DataFrame:
@@ -141,3 +144,62 @@ def coverage(lines: DataFrame, covered: DataFrame, least_percent: int, artifacts
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("coverable", "covered")})
     state = F.when(F.col("_has").isNull(), "missing").when(F.col("stale"), "stale").when(below, "failed").otherwise("passed")
     return out.select("change_id", "coverable", "covered", (state == "failed").alias("failed"), state.alias("state"))
+
+
+def conventions(functions: DataFrame) -> DataFrame:
+    """``lang, dominant, n_dominant, total, mean_size`` of ``functions(lang, name, from_line, to_line)``: what a repository's functions are like, to be kept and held against later ones."""
+    rows = functions.select("lang", style(F.col("name")).alias("style"), (F.col("to_line") - F.col("from_line") + 1).alias("size"))
+    named = dominant(rows.where(F.col("style").isNotNull()), "lang", "style", 0.0)
+    return rows.groupBy("lang").agg(F.avg("size").alias("mean_size")).join(named, "lang", "left")
+
+
+def function_drift(added: DataFrame, known: DataFrame, share: float = 0.8, factor: float = 2.0) -> DataFrame:
+    """Functions of ``added`` with ``name_drifts`` or ``size_drifts``, against :func:`conventions`: a name of another style than at least ``share`` of its language's, more than ``factor`` times their mean lines.
+
+    Where no style has that share, as in mixed repositories, no name drifts; a single word in small letters never does; of a language without functions nothing is known.
+    """
+    rows = added.withColumns({"style": style(F.col("name")), "size": F.col("to_line") - F.col("from_line") + 1}).join(known, "lang")
+    name = F.col("style").isNotNull() & (F.col("n_dominant") >= share * F.col("total")) & (F.col("style") != F.col("dominant"))
+    rows = rows.withColumns({"name_drifts": F.coalesce(name, F.lit(False)), "size_drifts": F.col("size") > factor * F.col("mean_size")})
+    return rows.where("name_drifts or size_drifts")
+
+
+@dataclass(frozen=True)
+class Form:
+    """A way to write something in a language: statements that ``begins`` finds, whose whole text ``pattern`` finds."""
+
+    lang: str
+    form: str
+    begins: str
+    pattern: str
+
+
+#: Forms of imports and of handed-on errors; the first that fits holds.
+IMPORTS = (
+    Form("go", "grouped", r"^import\b", r"^import\s*\("), Form("go", "single", r"^import\b", r"^import\s"),
+    *[Form(lang, form, r"^\s*import\b|\brequire\s*\(", pattern) for lang in ("typescript", "javascript") for form, pattern in (
+        ("namespace", r"^import\s+\*\s+as\b"), ("named", r"^import\s+(?:type\s+)?\{"), ("default", r"^import\s+[\w$]+"), ("require", r"\brequire\s*\("))],
+    Form("python", "from", r"^\s*(?:from|import)\s", r"^from\s"), Form("python", "import", r"^\s*(?:from|import)\s", r"^import\s"),
+)
+ERRORS = tuple(
+    Form("go", form, r"^\s*return\b.*(?:\berr\b|\bErrorf\s*\(|errors\.\w+\s*\()|\bpanic\(", pattern)
+    for form, pattern in (("panic", r"\bpanic\("), ("wrap", r"%w|\berrors\.Wrapf?\("), ("bare", r"^return\s+(?:.*,\s*)?err$"))
+)
+
+
+def statement_forms(lines: DataFrame, forms: tuple[Form, ...]) -> DataFrame:
+    """``path, lang, from_line, to_line, text, form`` of the statements in ``lines(path, line_no, text)`` that have one of ``forms``, over as many lines as they take."""
+    begins = {f.lang: f.begins for f in forms}
+    fits = [F.when((F.col("lang") == f.lang) & F.col("text").rlike(f.pattern), F.lit(f.form)) for f in forms]
+    return code.statements(lines, begins).withColumn("form", F.coalesce(*fits)).where("form is not null")
+
+
+def form_counts(statements: DataFrame) -> DataFrame:
+    """``lang, form, n``: the distribution to be kept."""
+    return statements.groupBy("lang", "form").agg(F.count("*").alias("n"))
+
+
+def form_drift(added: DataFrame, counts: DataFrame, share: float = 0.8) -> DataFrame:
+    """Statements of ``added`` with a form that isn't the ``dominant`` one, which at least ``share`` of ``counts`` of their language must have; only added ones are judged."""
+    top = counts.groupBy("lang").agg(F.max_by("form", F.struct("n", "form")).alias("dominant"), F.max("n").alias("_m"), F.sum("n").alias("_total"))
+    return added.join(top.where(F.col("_m") >= share * F.col("_total")).select("lang", "dominant"), "lang").where(F.col("form") != F.col("dominant"))

@@ -304,4 +304,4 @@ def agent_share_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_month", F.sum("n").over(Window.partitionBy("month")))
 
 
-from palisade.plans import extended, history  # noqa: E402, F401
+from palisade.plans import code, extended, history  # noqa: E402, F401
