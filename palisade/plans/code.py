@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators import calibrate, duplicates
+from palisade.operators import calibrate, duplicates, rule_tables
 from palisade.plans.registry import query
 from palisade.sources import adapters as A
 from palisade.sources import code
@@ -143,3 +143,17 @@ def code_error_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = sources(spark, sf_dir)
     base = calibrate.form_counts(calibrate.statement_forms(lines.where(OLD), calibrate.ERRORS))
     return calibrate.form_drift(calibrate.statement_forms(lines.where(NEW), calibrate.ERRORS), base, 0.8).select("path", "from_line", "form", "dominant")
+
+
+#: Rules that a user might write: a pattern for a word of each benchmark item, in several ways.
+RULES_SQL = r"""rules AS (SELECT 'r' || CAST(item_id AS VARCHAR) AS rule_id, CASE item_id % 4 WHEN 0 THEN '(?i)\b' || w || '[a-z]*\b' WHEN 1 THEN w || '(s|ed)?[[:space:]]+\w' WHEN 2 THEN '(?P<word>' || w || ')[[:punct:]]' ELSE '(^|[^[:alpha:]])' || w || '[^a-z&&]' END AS pattern
+    FROM (SELECT item_id, w FROM (SELECT item_id, lower(regexp_extract(text, '([A-Za-z]{5,})', 1)) AS w FROM benchmark) WHERE w <> ''))"""
+
+
+@query("rule_table_findings", f"WITH {A.LINES_SQL}, {RULES_SQL} SELECT change_id, path, line_no, rule_id, CASE WHEN length(rule_id) % 2 = 0 THEN 'error' ELSE 'info' END AS severity FROM added_lines JOIN rules ON regexp_matches(text, pattern)")
+def rule_table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added lines that the rules of a table find."""
+    item, w = F.col("item_id"), F.lower(F.regexp_extract("text", "([A-Za-z]{5,})", 1))
+    pattern = F.when(item % 4 == 0, F.concat(F.lit(r"(?i)\b"), "w", F.lit(r"[a-z]*\b"))).when(item % 4 == 1, F.concat("w", F.lit(r"(s|ed)?[[:space:]]+\w"))).when(item % 4 == 2, F.concat(F.lit("(?P<word>"), "w", F.lit(")[[:punct:]]"))).otherwise(F.concat(F.lit("(^|[^[:alpha:]])"), "w", F.lit("[^a-z&&]")))
+    rules = A.read(spark, sf_dir, "benchmark").withColumn("w", w).where("w <> ''").select(F.concat(F.lit("r"), item.cast("string")).alias("rule_id"), pattern.alias("pattern"))
+    return rule_tables.found(A.added_lines(spark, sf_dir), rules.withColumn("severity", F.when(F.length("rule_id") % 2 == 0, "error").otherwise("info")))
