@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.globs import matches_any
 from palisade.functions.re2 import to_java
+from palisade.functions.scans import running
 from palisade.sources import code
 
 
@@ -203,3 +204,16 @@ def form_drift(added: DataFrame, counts: DataFrame, share: float = 0.8) -> DataF
     """Statements of ``added`` with a form that isn't the ``dominant`` one, which at least ``share`` of ``counts`` of their language must have; only added ones are judged."""
     top = counts.groupBy("lang").agg(F.max_by("form", F.struct("n", "form")).alias("dominant"), F.max("n").alias("_m"), F.sum("n").alias("_total"))
     return added.join(top.where(F.col("_m") >= share * F.col("_total")).select("lang", "dominant"), "lang").where(F.col("form") != F.col("dominant"))
+
+
+def artifact_states(judged: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``change_id, stale`` of the changes that have a coverage report: ``judged(change_id, path, changed_at, judged_at)``, ``artifacts(path, made_at)``.
+
+    Of each path the latest report made by the time a change is judged counts; one older than the change says nothing of it. A change is stale if a report of one of its paths
+    is; without any report it has no row. The latest report is a running value over a path's events, read in blocks of a day.
+    """
+    events = judged.select("path", F.col("judged_at").alias("at"), "change_id", "changed_at").unionByName(artifacts.select("path", F.col("made_at").alias("at")), allowMissingColumns=True)
+    events = events.withColumn("_order", F.struct("at", F.col("change_id").isNotNull().alias("asks"), "change_id"))
+    made = F.when(F.col("change_id").isNull(), F.col("at"))
+    last = running(events, ["path"], "_order", F.to_date("at"), made_at=("last", made)).where("change_id is not null and made_at is not null")
+    return last.groupBy("change_id").agg(F.bool_or(F.col("made_at") < F.col("changed_at")).alias("stale"))

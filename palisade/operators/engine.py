@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.scans import running
 from palisade.operators import gates
 from palisade.operators.policy import Policy
 
@@ -145,7 +146,8 @@ def bypassed(changes: DataFrame, bypass: DataFrame, mode: str) -> DataFrame:
         return changes.limit(0)
     armed = bypass.select("branch", F.col("ts").alias("at"), F.lit(None).cast("long").alias("change_id"))
     events = changes.select("branch", F.col("committed_at").alias("at"), "change_id").unionByName(armed)
-    order = Window.partitionBy("branch").orderBy("at", F.col("change_id").asc_nulls_first())
-    before = F.lag(F.struct("change_id")).over(order)
-    used = events.withColumn("_before", before).where("change_id is not null and _before is not null and _before.change_id is null")
+    # A branch may hold nearly all events: commits before an event are counted day by day, not in one window.
+    events = events.withColumns({"_commit": F.col("change_id").isNotNull().cast("long"), "_order": F.struct("at", F.col("change_id").isNotNull().alias("c"), "change_id")})
+    events = running(events, ["branch"], "_order", F.to_date("at"), _n=("sum", F.col("_commit"))).withColumn("_n", F.col("_n") - F.col("_commit"))
+    used = events.where("_commit = 1").join(events.where("_commit = 0").select("branch", "_n").distinct(), ["branch", "_n"], "left_semi")
     return changes.join(used.select("change_id"), "change_id", "left_semi")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions.globs import matches_any, to_regex
+from palisade.functions.globs import matches_any, prefixes, split_glob, to_regex
 from palisade.functions.re2 import to_java
 from palisade.operators.policy import RULES, Policy, Rule
 
@@ -113,23 +113,34 @@ def ai_patterns(lines: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULE
     return found if overridden is None else found.join(overridden, ["change_id", "rule_id"], "left_anti").select(found.columns)
 
 
-def read_glob(glob: str | None) -> str | None:
-    """A pattern's regular expression, null for what is no pattern."""
+def read_glob(glob: str | None) -> tuple[str | None, str | None, str | None]:
+    """A pattern's regular expression, literal prefix and kind; nulls for what is no pattern."""
     try:
-        return None if glob is None else to_regex(glob)
+        return (None, None, None) if glob is None else (to_regex(glob), *split_glob(glob))
     except ValueError:
-        return None
+        return None, None, None
 
 
 def manifest_patterns(manifests: DataFrame) -> DataFrame:
-    """``change_id, glob, regex`` of ``manifests(change_id, paths)``: each distinct pattern is read once; regex is null for a bad one."""
+    """``change_id, glob, regex, prefix, kind`` of ``manifests(change_id, paths)``: each distinct pattern is read once; regex is null for a bad one."""
 
-    @F.pandas_udf("string")
-    def regex(globs: pd.Series) -> pd.Series:
-        return globs.map(read_glob)
+    @F.pandas_udf("regex string, prefix string, kind string")
+    def read(globs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_glob(g) for g in globs], columns=["regex", "prefix", "kind"], dtype=object)
 
     each = manifests.select("change_id", F.explode("paths").alias("glob"))
-    return each.join(each.select("glob").distinct().withColumn("regex", regex("glob")), "glob").select("change_id", "glob", "regex")
+    return each.join(each.select("glob").distinct().withColumn("r", read("glob")).select("glob", "r.*"), "glob").select("change_id", "glob", "regex", "prefix", "kind")
+
+
+def within(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``change_id, path`` of the files that a pattern of their change matches.
+
+    A path meets only patterns whose literal beginning is one of its own: an equality, so a manifest of any length costs what matches it, and
+    only what is left of a pattern with wildcards is tried as a regular expression.
+    """
+    paths = files.select("change_id", "path").distinct().withColumn("prefix", F.explode(prefixes(F.col("path"))))
+    both = paths.join(patterns.where("regex is not null").select("change_id", "prefix", "kind", "regex").distinct(), ["change_id", "prefix"])
+    return both.where("kind = 'below' or (kind = 'exact' and prefix = path) or (kind = 'regex' and path rlike regex)").select("change_id", "path").distinct()
 
 
 def manifest_errors(manifests: DataFrame) -> DataFrame:
@@ -145,9 +156,8 @@ def scope(files: DataFrame, policy: Policy, manifests: DataFrame | None = None,
     """
     open_ = files.where(~matches_any(F.col("path"), (*IMPLICIT, *policy.allow_always)))
     if manifests is not None:
-        allowed = manifest_patterns(manifests).where("regex is not null").select(F.col("change_id").alias("_change"), "regex")
         declared = open_.join(manifests.select("change_id").distinct(), "change_id", "left_semi")
-        out = declared.join(allowed, (F.col("change_id") == F.col("_change")) & F.expr("path rlike regex"), "left_anti")
+        out = declared.join(within(declared, manifest_patterns(manifests)), ["change_id", "path"], "left_anti")
     elif policy.declared is None:
         if not policy.require_manifest or changes is None:
             return finding(files.limit(0), "scope", rule_id=F.lit(""), severity=F.lit(""), message=F.lit(""), retry_hint=F.lit(""))

@@ -120,3 +120,15 @@ def load(settings: dict) -> Policy:
     if "overrides" in values:
         values["overrides"] = tuple(o if isinstance(o, BudgetOverride) else BudgetOverride(**{k: tuple(v) if isinstance(v, list) else v for k, v in o.items()}) for o in values["overrides"])
     return Policy(**values)
+
+
+#: The settings of a policy file by their dotted names, with the field of :class:`Policy` each one sets, and the kind of value it takes.
+SETTINGS = {
+    "version": ("", "int"), "mode": ("mode", "string"), "stop_on_first_block": ("stop_on_first_block", "boolean"),
+    "provenance.branch_prefixes": ("prefixes", "list"), "provenance.trailers": ("trailers", "list"), "provenance.apply_gates_to": ("apply_gates_to", "string"), "provenance.heuristics": ("heuristics", "list"),
+    "gates.diff_budget.max_lines": ("max_lines", "int"), "gates.diff_budget.max_files": ("max_files", "int"), "gates.diff_budget.max_new_files": ("max_new_files", "int"), "gates.diff_budget.overrides": ("overrides", "list"),
+    "gates.branch_policy.protected": ("protected", "list"), "gates.ai_patterns.enabled": ("", "boolean"), "gates.ai_patterns.disable_rules": ("disabled_rules", "list"),
+    "gates.scope.require_task_manifest": ("require_manifest", "boolean"), "gates.scope.allow_always": ("allow_always", "list"),
+}
+#: A namespace of its own: severities by rule.
+REMAPPED = "rule_overrides"

@@ -362,3 +362,19 @@ def coverage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     covered = lines.where("line_no % 2 = 1 and change_id % 7 <> 0").select("change_id", "path", "line_no", ((F.col("change_id") * 7 + F.col("line_no")) % 10 < 7).alias("hit"))
     artifacts = lines.select("change_id", (F.col("change_id") % 5 == 0).alias("stale")).where("change_id % 7 <> 0").distinct()
     return calibrate.coverage(lines, covered, 70, artifacts)
+
+
+#: Reports of the first line's file, made every 40 days, or just before a change for every third; judged ten days after a change.
+STALE_SQL = f"""{A.CHANGES_SQL}, judged AS (SELECT change_id, 'src/' || CAST(change_id % 50 AS VARCHAR) AS path, committed_at AS changed_at, committed_at + INTERVAL 10 DAY AS judged_at FROM changes),
+    made AS (SELECT 'src/' || CAST(change_id % 50 AS VARCHAR) AS path, CASE WHEN change_id % 3 = 0 THEN committed_at - INTERVAL 1 DAY ELSE committed_at + INTERVAL 2 DAY END AS made_at FROM changes WHERE change_id % 50 < 45 AND change_id % 4 = 0)"""
+
+
+@query("coverage_staleness", f"""WITH {STALE_SQL}, l AS (SELECT j.change_id, j.changed_at, max(m.made_at) AS made_at FROM judged j JOIN made m ON m.path = j.path AND m.made_at <= j.judged_at GROUP BY 1, 2)
+    SELECT change_id, made_at < changed_at AS stale FROM l""")
+def coverage_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the latest report of a change's file is older than the change."""
+    rows = A.changes(spark, sf_dir)
+    path, at = F.concat(F.lit("src/"), (F.col("change_id") % 50).cast("string")).alias("path"), F.col("committed_at")
+    judged = rows.select("change_id", path, at.alias("changed_at"), (at + F.expr("interval 10 days")).alias("judged_at"))
+    made = rows.where("change_id % 50 < 45 and change_id % 4 = 0").select(path, F.when(F.col("change_id") % 3 == 0, at - F.expr("interval 1 day")).otherwise(at + F.expr("interval 2 days")).alias("made_at"))
+    return calibrate.artifact_states(judged, made)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators import engine
 from palisade.plans.registry import query
 from palisade.sources import adapters as A
-from palisade.sources import graph, netdiff, patches
+from palisade.sources import graph, netdiff, patches, policies
 
 #: Orders as commits: 500 to a repository. Of seven, the fourth and fifth are a side branch from the second; the sixth merges it in every other
 #: group and is plain in the others, which leave it a head of its own; in each fifth group it has no parent, a root of its own. Every 13th clock is three hours slow.
@@ -138,3 +138,32 @@ def range_net_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = net(spark, sf_dir).groupBy(F.col("key").alias("range_id")).agg(F.count("*").alias("net_lines"))
     out = each.join(total, "range_id", "left").withColumn("net_lines", F.coalesce("net_lines", F.lit(0)))
     return out.select("range_id", "sum_lines", "net_lines", (F.col("sum_lines") > 400).alias("sum_over"), (F.col("net_lines") > 400).alias("net_over"))
+
+
+@query("commit_ordinals", f"WITH {A.CHANGES_SQL} SELECT branch AS key, row_number() OVER (PARTITION BY branch ORDER BY epoch(committed_at), change_id) AS ordinal, change_id AS \"commit\" FROM changes WHERE NOT is_merge")
+def commit_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each branch's commits without merges, numbered from the oldest; a branch with most commits is ranked in blocks of time."""
+    rows = A.changes(spark, sf_dir).where("not is_merge")
+    dates = rows.select(F.col("change_id").alias("commit"), F.unix_timestamp("committed_at").alias("at"))
+    return graph.numbered(rows.select(F.col("branch").alias("key"), F.col("change_id").alias("commit")), dates, 30 * 86_400)
+
+
+POLICY_TEXT = """concat('{"mode":"', CASE c_custkey % 4 WHEN 0 THEN 'warn' WHEN 1 THEN 'enforce' WHEN 2 THEN 'ci_strict' ELSE 'loose' END, '","gates":{"diff_budget":{"max_lines":', cast(50 * (c_custkey % 7) - 50 AS string),
+    CASE WHEN c_custkey % 5 = 0 THEN ',"max_line":3' ELSE '' END, '}}', CASE WHEN c_custkey % 6 = 0 THEN ',"extra":[1]' ELSE '' END, CASE WHEN c_custkey % 11 = 0 THEN ',"rule_overrides":{"scope/out-of-scope":"info"}' ELSE '' END, '}')"""
+
+
+@query("policy_overlay", """WITH c AS (SELECT c_custkey AS repo, concat_ws(',', CASE WHEN c_custkey % 6 = 0 THEN 'extra' END, CASE WHEN c_custkey % 5 = 0 THEN 'gates.diff_budget.max_line' END) AS unknown,
+        concat_ws('; ', CASE WHEN c_custkey % 7 = 0 THEN 'gates.diff_budget.max_lines: negative: -50' END, CASE WHEN c_custkey % 4 = 3 THEN 'mode: not a mode: "loose"' END) AS errors FROM customer WHERE c_custkey % 13 <> 0
+        UNION ALL SELECT c_custkey, '', '' FROM customer WHERE c_custkey % 13 = 0)
+    SELECT repo, unknown, errors, unknown = '' AND errors = '' AS holds, CASE WHEN unknown || errors = '' THEN CASE WHEN repo % 13 = 0 THEN '"enforce"' ELSE CASE repo % 4 WHEN 0 THEN '"warn"' WHEN 1 THEN '"enforce"' ELSE '"ci_strict"' END END END AS mode,
+        CASE WHEN unknown || errors = '' THEN CASE WHEN repo % 13 = 0 THEN '300' ELSE CAST(50 * (repo % 7) - 50 AS VARCHAR) END END AS max_lines, CASE WHEN unknown || errors = '' THEN '20' END AS max_files,
+        CASE WHEN unknown || errors = '' AND repo % 13 <> 0 AND repo % 11 = 0 THEN '"info"' END AS remapped FROM c""")
+def policy_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policy files of many repositories over the defaults; every 13th has none."""
+    rows = A.read(spark, sf_dir, "customer").selectExpr("c_custkey AS repo", f"{POLICY_TEXT} AS text")
+    out = policies.overlaid(rows.where("repo % 13 <> 0"), rows.select("repo"))
+    of = lambda key: F.try_element_at("settings", F.lit(key))
+    return out.select(
+        "repo", F.array_join("unknown", ",").alias("unknown"), F.array_join("errors", "; ").alias("errors"), F.col("settings").isNotNull().alias("holds"),
+        of("mode").alias("mode"), of("gates.diff_budget.max_lines").alias("max_lines"), of("gates.diff_budget.max_files").alias("max_files"), of("rule_overrides.scope/out-of-scope").alias("remapped"),
+    )
