@@ -14,6 +14,9 @@ FOUND = "query_id long, vec_id long, score long"
 CHUNK, ASKED = 1024, 4096
 #: Products below this are summed as 64-bit integers, others as Python's.
 LIMIT = 2**62
+#: Vectors with components from here on are outliers: no bound is made of them, they are scored one by one as Python's integers.
+WIDE = 2.0**40
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def rotation(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -28,6 +31,7 @@ def rotation(rows: DataFrame) -> dict[int, np.ndarray]:
             for dim, part in batch.groupby(batch["v"].map(len)):
                 if dim:
                     x = matrix(part["v"], float)
+                    x = x[np.abs(x).max(axis=1) < WIDE]
                     total[dim] = total.get(dim, 0) + x.T @ x
         for dim, g in total.items():
             i, j = np.indices(g.shape)
@@ -42,16 +46,27 @@ def rotation(rows: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products; those that are no 64-bit integers are an error."""
-    if x.size == 0 or x.shape[1] * int(np.abs(x).max()) * int(np.abs(query).max()) < LIMIT:
-        return (x * query).sum(axis=1)
-    exact = (x.astype(object) * query.astype(object)).sum(axis=1)
+def products(x: np.ndarray, query: np.ndarray, wide: bool = False) -> np.ndarray:
+    """Exact inner products of integers, also such that are kept as doubles. Those that don't fit 64 bits are Python's with ``wide``, else an error."""
+    if x.size == 0 or x.shape[1] * float(np.abs(x).max()) * float(np.abs(query).max()) < LIMIT:
+        return (x.astype(np.int64) * query.astype(np.int64)).sum(axis=1)
+    whole = lambda a: np.frompyfunc(int, 1, 1)(a)
+    exact = (whole(x) * whole(query)).sum(axis=1)
+    if wide:
+        return exact
     if max(map(abs, exact)) >= 2**63:
         raise OverflowError("an inner product leaves the range of a long")
     return exact.astype(np.int64)
 
 
+def best_of(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if scores.dtype == object:
+        top = np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], names[i]))[:k], int)
+    else:
+        top = np.lexsort((names, -scores))[:k]
+    return scores[top], names[top]
+
+
 def search_group(rows: pd.DataFrame, queries: pd.DataFrame, basis: np.ndarray | None, k: int) -> pd.DataFrame:
     """The best ``k`` rows of one stripe for each query of one block.
 
@@ -59,52 +74,62 @@ def search_group(rows: pd.DataFrame, queries: pd.DataFrame, basis: np.ndarray |
     of lengths is below its k-th score; then the first half of the rotated components and the
     Cauchy-Schwarz bound on the rest decide which rows are scored exactly.
     """
-    x, q = matrix(rows["v"], np.int64), matrix(queries["v"], np.int64)
+    x, q = matrix(rows["v"], float), matrix(queries["v"], float)
     ids, q_ids = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-    if max(np.abs(x).max(initial=0), np.abs(q).max(initial=0), -x.min(initial=0), -q.min(initial=0)) >= LIMIT:
-        raise OverflowError("a component leaves the range of a long")
-    xf, qf = x.astype(float), q.astype(float)
+    best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q_ids]
+    floor = np.full(len(q_ids), -np.inf)
+
+    def meet(n: int, some: np.ndarray) -> None:
+        """Scores the rows at ``some`` for query ``n``."""
+        some = some[ids[some] != q_ids[n]]
+        if len(some):
+            best[n] = best_of(np.concatenate([best[n][0], products(x[some], q[n], wide=True)]), np.concatenate([best[n][1], ids[some]]), k)
+            if len(best[n][0]) == k:
+                floor[n] = float(max(min(best[n][0][-1], 2**1000), -(2**1000)))
+
+    far, q_far = np.abs(x).max(axis=1, initial=0) >= WIDE, np.abs(q).max(axis=1, initial=0) >= WIDE
+    for n in range(len(q_ids)):
+        meet(n, np.arange(len(ids)) if q_far[n] else np.flatnonzero(far))
+    asked, plain = np.flatnonzero(~q_far), np.flatnonzero(~far)
+    xf, qf = x[plain], q[asked]
     if basis is not None:
         xf, qf = xf @ basis, qf @ basis
     norms, q_norms = np.linalg.norm(xf, axis=1), np.linalg.norm(qf, axis=1)
-    order = np.lexsort((ids, -norms))
-    x, xf, ids, norms = x[order], xf[order], ids[order], norms[order]
+    order = np.lexsort((ids[plain], -norms))
+    plain, xf, norms = plain[order], xf[order], norms[order]
     half = x.shape[1] // 2
     rest, q_rest = np.linalg.norm(xf[:, half:], axis=1), np.linalg.norm(qf[:, half:], axis=1)
     slack = 1e-6 * (1 + norms[:1].max(initial=0) * q_norms)
-    best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q_ids]
-    floor = np.full(len(q_ids), -np.inf)
-    for at in range(0, len(ids), CHUNK):
+    for at in range(0, len(plain), CHUNK):
         own = slice(at, at + CHUNK)
-        live = np.flatnonzero(q_norms * norms[at] + slack >= floor)
+        live = np.flatnonzero(q_norms * norms[at] + slack >= floor[asked])
         if not len(live):
             break
         for some_live in np.array_split(live, -(-len(live) // ASKED)):
             bound = qf[some_live, :half] @ xf[own, :half].T + np.outer(q_rest[some_live], rest[own]) + slack[some_live, None]
-            for row, n in zip(bound >= floor[some_live, None], some_live, strict=True):
-                some = np.flatnonzero(row & (ids[own] != q_ids[n]))
-                if not len(some):
-                    continue
-                score = products(x[own][some], q[n])
-                scores, names = np.concatenate([best[n][0], score]), np.concatenate([best[n][1], ids[own][some]])
-                top = np.lexsort((names, -scores))[:k]
-                best[n] = scores[top], names[top]
-                if len(top) == k:
-                    floor[n] = scores[top[-1]]
-    return pd.DataFrame({"query_id": np.repeat(q_ids, [len(s) for s, _ in best]), "vec_id": np.concatenate([np.empty(0, np.int64), *(i for _, i in best)]), "score": np.concatenate([np.empty(0, np.int64), *(s for s, _ in best)])})
+            for row, n in zip(bound >= floor[asked[some_live], None], asked[some_live], strict=True):
+                if row.any():
+                    meet(n, plain[own][row])
+    if any(s > MOST for scores, _ in best for s in scores[:1]):
+        raise OverflowError("a score leaves the range of a long")
+    # What is below all longs is only told from others if it comes to be returned.
+    score = np.concatenate([np.empty(0, np.int64), *(np.array([max(s, LEAST) for s in scores], np.int64) if scores.dtype == object else scores for scores, _ in best)])
+    return pd.DataFrame({"query_id": np.repeat(q_ids, [len(s) for s, _ in best]), "vec_id": np.concatenate([np.empty(0, np.int64), *(i for _, i in best)]), "score": score})
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, stripe_rows: int = 16384, block_rows: int = 32768) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query the ``k`` rows of highest integer inner product.
 
     ``rows`` and ``queries`` have ``vec_id`` and ``embedding``; each component x becomes
-    floor(scale * x). A component or score that leaves the range of a long is an error, never another value. Ties go to the smaller id. Vectors
+    floor(scale * x), whatever its size. A score that leaves the range of a long is an error if it is to be returned, never another value. Ties go to the smaller id. Vectors
     that are null or hold null or non-finite components, and null ids, take no part; only vectors of one
     length are compared (empty ones score 0). Rows with the query's id are its own and no candidates;
     repeated rows rank one by one, a repeated query is asked once. Empty tables give no rows. Other
     columns are ignored.
     """
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
+    # Integers as doubles; from 2**53 on a double has no fraction.
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    ints = F.transform("embedding", lambda x: whole(x.cast("double") * scale))
     usual = lambda df: df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v"))
     rows, queries = usual(rows), usual(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
     bases = rotation(rows)
@@ -116,4 +141,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, s
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return search_group(own, asked, bases.get(int(key[0])), k)
 
-    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(group, FOUND), k)
+    found = ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(group, FOUND), k)
+    low = F.raise_error(F.lit("a score leaves the range of a long")).cast("long")
+    return found.withColumn("score", F.when(F.col("score") == LEAST, low).otherwise(F.col("score")))

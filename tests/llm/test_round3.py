@@ -230,3 +230,30 @@ def test_lattice_points_are_nearest():
     assert ((home * 2) % 1 == 0).all() and (home.sum(axis=1) % 2 == 0).all()
     gaps = ((x[:, None] - home[:, None] - lattice.NEAREST[None]) ** 2).sum(axis=2)
     assert (((x - home) ** 2).sum(axis=1)[:, None] <= gaps + 1e-12).all() and len(np.unique(lattice.NEAREST, axis=0)) == 240
+
+
+def test_exact_search_with_outliers(spark):
+    """Components of any size have a defined floor; only a score that is returned and no long is an error."""
+    from palisade.llm import exact_search
+
+    random.seed(1)
+    rows = [(i, [random.uniform(-3, 3) for _ in range(6)]) for i in range(40)] + [(50, [1e300, *[0.0] * 5]), (51, [-1e300, *[0.0] * 5]), (52, [2.0**45, 0.5, *[0.0] * 4])]
+    queries = [(0, [0.0, 1.0, 2.0, -1.0, 0.5, 0.1]), (52, rows[42][1]), (7, rows[7][1])]
+    floor = lambda v: [math.floor(1024 * x) if abs(x) < 2.0**43 else int(1024 * x) for x in v]
+    def brute(some, asked, k):
+        out = []
+        for q, v in asked:
+            scores = sorted((-sum(a * b for a, b in zip(floor(v), floor(w), strict=True)), i) for i, w in some if i != q)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+        return sorted(out)
+    frame = lambda x: spark.createDataFrame(x, "vec_id long, embedding array<double>").repartition(3)
+    # The first component of the first query is 0, so outliers' scores stay small.
+    some, asked = rows[:41], queries[:1]
+    assert sorted(tuple(r) for r in exact_search.top_k(frame(some), frame(asked), 5, stripe_rows=9).collect()) == brute(some, asked, 5)
+    some = [r for r in rows if r[0] != 50]
+    low = [(99, [1.0, *[0.0] * 5]), (0, queries[0][1])]
+    assert sorted(tuple(r) for r in exact_search.top_k(frame([r for r in some if r[0] != 52]), frame(low), 5, stripe_rows=1000).collect()) == brute([r for r in some if r[0] != 52], low, 5)
+    with pytest.raises(Exception, match="range of a long"):
+        exact_search.top_k(frame(rows), frame([(99, [1.0, *[0.0] * 5])]), 5).collect()
+    with pytest.raises(Exception, match="range of a long"):
+        exact_search.top_k(frame(rows[41:42]), frame([(99, [1.0, *[0.0] * 5])]), 5).collect()
