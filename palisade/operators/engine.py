@@ -72,7 +72,7 @@ def evaluate(tables: Tables, policy: Policy, run: tuple[Gate, ...] = STANDARD) -
         files, lines = files.join(some, "change_id", "left_semi"), lines.join(some, "change_id", "left_semi")
     overridden = tables.overridden if tables.overridden is not None else override_ids(changes, policy.mode)
     seen = replace(tables, changes=changes, files=files, lines=lines, overridden=overridden)
-    found = with_severities(with_docs(reduce(DataFrame.unionByName, (gate(seen, policy) for gate in run))), policy.severities)
+    found = with_severities(with_docs(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (gate(seen, policy) for gate in run))), policy.severities)
     return until_first_block(found) if policy.stop_on_first_block else found
 
 

@@ -13,13 +13,13 @@ from palisade.functions.re2 import to_java
 from palisade.operators.policy import RULES, Policy, Rule
 
 GATES = ("branch_policy", "diff_budget", "ai_patterns", "scope")
-FINDING = ("change_id", "gate_ord", "gate", "rule_id", "severity", "file", "line", "message", "retry_hint", "rule_ord")
+FINDING = ("change_id", "gate_ord", "gate", "rule_id", "severity", "file", "line", "message", "retry_hint", "rule_ord", "suggestion", "fix")
 #: Always in scope, whatever a task declares.
 IMPLICIT = (".palisade/**",)
 
 
 def finding(rows: DataFrame, gate: str, **columns: Column) -> DataFrame:
-    given = {"gate_ord": F.lit(GATES.index(gate)), "gate": F.lit(gate), "file": F.lit(None).cast("string"), "line": F.lit(None).cast("long"), "rule_ord": F.lit(0)} | columns
+    given = {"gate_ord": F.lit(GATES.index(gate)), "gate": F.lit(gate), "file": F.lit(None).cast("string"), "line": F.lit(None).cast("long"), "rule_ord": F.lit(0), "suggestion": F.lit(None).cast("string"), "fix": F.lit(None).cast("string")} | columns
     return rows.select("change_id", *[given[c].alias(c) for c in FINDING[1:]])
 
 
@@ -107,9 +107,9 @@ def ai_patterns(lines: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULE
         return finding(lines.limit(0), "ai_patterns", rule_id=F.lit(""), severity=F.lit(""), message=F.lit(""), retry_hint=F.lit(""))
     holds = lambda r: reduce(lambda a, b: a | b, (F.contains("text", F.lit(x)) for x in r.needles)) if r.needles else F.lit(True)
     rows = lines.where(reduce(lambda a, b: a | b, map(holds, (r for _, r in some))))
-    hits = [F.when(holds(r) & F.col("text").rlike(to_java(r.pattern)), F.struct(F.lit(n).alias("rule_ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.retry_hint).alias("retry_hint"))) for n, r in some]
+    hits = [F.when(holds(r) & F.col("text").rlike(to_java(r.pattern)), F.struct(F.lit(n).alias("rule_ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.retry_hint).alias("retry_hint"), F.lit(r.suggestion or None).cast("string").alias("suggestion"), F.lit(r.fix or None).cast("string").alias("fix"))) for n, r in some]
     found = rows.select("change_id", "path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("r"))
-    found = finding(found, "ai_patterns", file=F.col("path"), line=F.col("line_no").cast("long"), **{c: F.col(f"r.{c}") for c in ("rule_id", "severity", "message", "retry_hint", "rule_ord")})
+    found = finding(found, "ai_patterns", file=F.col("path"), line=F.col("line_no").cast("long"), **{c: F.col(f"r.{c}") for c in ("rule_id", "severity", "message", "retry_hint", "rule_ord", "suggestion", "fix")})
     return found if overridden is None else found.join(overridden, ["change_id", "rule_id"], "left_anti").select(found.columns)
 
 

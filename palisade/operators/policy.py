@@ -31,6 +31,9 @@ class Rule:
     negatives: tuple[str, ...]
     #: A text that the pattern finds holds one of these; lines without any are spared the pattern. None: no such text.
     needles: tuple[str, ...] = ()
+    #: What a person might do about it, and a change that a program can make by itself.
+    suggestion: str = ""
+    fix: str = ""
 
 
 # Patterns, names and severities that results depend on.

@@ -59,7 +59,7 @@ def html_safe(json: Column) -> Column:
 
 def json_reports(verdict: DataFrame, findings: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """``change_id, report``: result, findings in order, summary, hints and, where gates failed, their errors; empty lists are written as such."""
-    found = placed(findings, "gate", "rule_id", "severity", "file", "line", "message", "docs_url", "retry_hint")
+    found = placed(findings, *[c for c in ("gate", "rule_id", "severity", "file", "line", "message", "suggestion", "docs_url", "retry_hint", "fix") if c in findings.columns])
     hints = retry_hints(findings).groupBy("change_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("hint_ord", "retry_hint"))), lambda x: x["retry_hint"]).alias("h"))
     out = verdict.join(found, "change_id", "left").join(hints, "change_id", "left")
     summary = F.struct(F.col("n_findings").alias("findings"), F.col("n_errors").alias("errors"), F.col("n_warnings").alias("warnings"), F.col("n_info").alias("info"), F.col("n_gate_errors").alias("gate_errors"))

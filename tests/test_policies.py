@@ -83,3 +83,24 @@ def test_one_shot_tokens(spark):
     got = {r["change_id"] for r in engine.bypassed(rows, log, "enforce").collect()}
     assert got == {n for n in want if changes[n][1] is not None}
     assert engine.bypassed(rows, log, "ci_strict").count() == 0
+
+
+def test_gates_of_ones_own(spark):
+    """A rule with a suggestion and a fix, and a gate that the library doesn't have, through the engine into a report."""
+    from palisade.operators import reports
+    from palisade.operators.policy import RULES, Rule
+
+    rule = Rule("no-todo", r"TODO", "warn", "left to do", "Do it.", ("TODO",), ("done",), suggestion="do it now", fix="delete the line")
+
+    def mine(tables, policy):
+        big = tables.files.where("added > 5")
+        return big.select("change_id", F.lit(9).alias("gate_ord"), F.lit("mine").alias("gate"), F.lit("big").alias("rule_id"), F.lit("info").alias("severity"), F.col("path").alias("file"), F.lit(None).cast("long").alias("line"),
+                          F.lit("big").alias("message"), F.lit("").alias("retry_hint"), F.lit(0).alias("rule_ord"))
+
+    changes = spark.createDataFrame([(1, None, "feature/x", "", "", False, "t")], "change_id long, committed_at timestamp, branch string, message string, env_agent string, is_merge boolean, tree_hash string")
+    files = spark.createDataFrame([(1, "a.py", "modified", 9, 0)], "change_id long, path string, kind string, added long, removed long")
+    lines = spark.createDataFrame([(1, "a.py", 3, "# TODO"), (1, "a.py", 4, "except:")], "change_id long, path string, line_no int, text string")
+    found = engine.evaluate(engine.Tables(changes, files, lines), Policy(), (lambda t, p: gates.ai_patterns(t.lines, p, (*RULES, rule)), mine))
+    assert sorted((r["gate"], r["rule_id"], r["suggestion"], r["fix"]) for r in found.collect()) == [("ai_patterns", "no-broad-catch", None, None), ("ai_patterns", "no-todo", "do it now", "delete the line"), ("mine", "big", None, None)]
+    report = json.loads(reports.json_reports(engine.verdicts(changes, found, "enforce"), found).first()["report"])
+    assert [sorted(x) for x in report["findings"]] == [["docs_url", "file", "gate", "line", "message", "retry_hint", "rule_id", "severity"], sorted(["docs_url", "file", "fix", "gate", "line", "message", "retry_hint", "rule_id", "severity", "suggestion"]), ["docs_url", "file", "gate", "message", "retry_hint", "rule_id", "severity"]]
