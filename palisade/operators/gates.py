@@ -44,11 +44,14 @@ def applicable(changes: DataFrame, policy: Policy) -> DataFrame:
 
 
 def go_quoted(text: Column) -> Column:
-    """Double quotes around, and escapes of quotes, backslashes, tabs and line ends inside; other signs as they are."""
+    """Double quotes around, and escapes of quotes, backslashes and ASCII control signs inside; other signs as they are."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for raw, name in (('"', '"'), ("\n", "n"), ("\t", "t"), ("\r", "r")):
         out = F.replace(out, F.lit(raw), F.lit("\\" + name))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    rare = out
+    for code in (*range(9), 11, 12, *range(14, 32), 127):
+        rare = F.replace(rare, F.lit(chr(code)), F.lit("\\" + {7: "a", 8: "b", 11: "v", 12: "f"}.get(code, f"x{code:02x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), rare).otherwise(out), F.lit('"'))
 
 
 def branch_policy(changes: DataFrame, policy: Policy) -> DataFrame:

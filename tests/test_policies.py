@@ -103,4 +103,10 @@ def test_gates_of_ones_own(spark):
     found = engine.evaluate(engine.Tables(changes, files, lines), Policy(), (lambda t, p: gates.ai_patterns(t.lines, p, (*RULES, rule)), mine))
     assert sorted((r["gate"], r["rule_id"], r["suggestion"], r["fix"]) for r in found.collect()) == [("ai_patterns", "no-broad-catch", None, None), ("ai_patterns", "no-todo", "do it now", "delete the line"), ("mine", "big", None, None)]
     report = json.loads(reports.json_reports(engine.verdicts(changes, found, "enforce"), found).first()["report"])
-    assert [sorted(x) for x in report["findings"]] == [["docs_url", "file", "gate", "line", "message", "retry_hint", "rule_id", "severity"], sorted(["docs_url", "file", "fix", "gate", "line", "message", "retry_hint", "rule_id", "severity", "suggestion"]), ["docs_url", "file", "gate", "message", "retry_hint", "rule_id", "severity"]]
+    assert [sorted(x) for x in report["findings"]] == [sorted(["docs_url", "file", "fix", "gate", "line", "message", "retry_hint", "rule_id", "severity", "suggestion"]), ["docs_url", "file", "gate", "line", "message", "retry_hint", "rule_id", "severity"], ["docs_url", "file", "gate", "message", "retry_hint", "rule_id", "severity"]]
+
+
+def test_quoted(spark):
+    texts = ['a"b\\c', "\t\n\r", "\x00\x07\x08\x0b\x0c\x1f\x7fé", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", gates.go_quoted(F.col("t")).alias("q")).orderBy("n").collect()
+    assert [r["q"] for r in rows] == ['"a\\"b\\\\c"', '"\\t\\n\\r"', '"\\x00\\a\\b\\v\\f\\x1f\\x7fé"', '""']
