@@ -45,6 +45,19 @@ def patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches.patch_files(whole.select("change_id", F.array_join(F.transform("x", lambda y: y["t"]), "").alias("text")), "change_id")
 
 
+@query("long_patch_lines", f"WITH {A.LINES_SQL} SELECT d.source, a.path, '+' AS op, a.line_no, a.text FROM added_lines a JOIN documents d ON d.doc_id = a.change_id")
+def long_patch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch for each source, which adds all its documents, given line by line; the largest is a third of all lines."""
+    docs = A.read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("change_id"))
+    lines = A.added_lines(spark, sf_dir)
+    place = lambda p: (F.col("change_id") * (1 << 20) + p).alias("pos")
+    body = lines.select("change_id", place(F.col("line_no") + 2), F.concat(F.lit("+"), "text").alias("raw"))
+    sizes = lines.groupBy("change_id", "path").agg(F.count("*").cast("string").alias("n"))
+    heads = F.array(F.lit("--- /dev/null"), F.concat(F.lit("+++ b/"), "path"), F.concat(F.lit("@@ -0,0 +1,"), "n", F.lit(" @@")))
+    head = sizes.select("change_id", F.posexplode(heads).alias("p", "raw")).select("change_id", place(F.col("p")), "raw")
+    return patches.patch_lines(body.unionByName(head).join(docs, "change_id").select("source", "pos", "raw"), "source", block=1 << 28)
+
+
 @query("diff_assembly", f"""WITH {A.LINES_SQL}, n AS (SELECT change_id, path, count(*) AS added FROM added_lines GROUP BY 1, 2) SELECT change_id, path, CASE WHEN change_id % 3 <> 2 AND change_id % 4 = 3 THEN 'old/' || path END AS old_path,
     CASE WHEN change_id % 3 = 2 THEN 'modified' ELSE list_extract(['added', 'modified', 'deleted', 'renamed'], CAST(change_id % 4 + 1 AS INTEGER)) END AS kind, added, change_id % 5 AS removed, FALSE AS is_binary,
     CASE WHEN change_id % 2 = 0 THEN added ELSE 0 END AS n_lines FROM n""")
