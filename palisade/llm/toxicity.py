@@ -1,4 +1,4 @@
-"""Toxicity: class-conditional Kneser-Ney models over the letters of expressions."""
+"""Toxicity: class-conditional Kneser-Ney models over the letters of expressions and of whole texts."""
 
 from __future__ import annotations
 
@@ -14,69 +14,89 @@ from pyspark.sql import functions as F
 
 from palisade.llm.shared import chunks, written
 
-#: Letters are folded to 5 bits and models look at 4, so a model has at most 2**20 cells at any input size.
-BITS, ORDER = 5, 4
-CELLS = 1 << BITS * ORDER
+#: A cell is a letter and the three before it; cells are as many as the corpus has.
+ORDER = 4
+LETTERS = [f"x{i}" for i in range(ORDER)]
 DISCOUNT = 0.75
 #: Characters of different words that a task keeps, about; a word counts 40 more.
 MEMO = 12_000_000
-#: Scores of texts are gathered in steps of this for the final curve.
-STEP = 1 / 64
+#: Evidence of texts' expressions and of whole texts is gathered in steps of this for the final curve.
+STEP, FINE = 1 / 64, 1 / 256
 
 
 def symbol(letter: str) -> int:
-    """0: no letter or digit; 1-26: a-z without accents; 27-30: other letters; 31: digits."""
-    base = unicodedata.normalize("NFD", letter.lower())[0]
-    if "a" <= base <= "z":
-        return ord(base) - 96
-    return 31 if base.isdigit() else 27 + ord(base) % 4 if base.isalpha() else 0
+    """The letter, digit or combining mark itself, in lower case; 0 for all else."""
+    return ord(letter.lower()[0]) if letter.isalnum() or unicodedata.category(letter)[0] == "M" else 0
 
 
-#: Symbols by code point, filled as letters are met; 255 is unknown.
-SYMBOLS = np.full(0x110000, 255, np.uint8)
+#: Symbols by code point, filled as letters are met; -1 is unknown.
+SYMBOLS = np.full(0x110000, -1, np.int32)
 
 
 def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the expressions of ``words``, end to end: cells, where each expression begins, and its word's number.
+    """Cells of the expressions of ``words``, end to end: a row of ``ORDER`` letters each, where each expression begins, and its word's number.
 
-    An expression is a run of letters and digits. A cell holds a symbol and the three before it in the run; 0 stands
-    before a run, and behind it as its last symbol.
+    An expression is a run of letters and digits. A cell holds a letter and the three before it in the run, none folded with others; 0 stands
+    before a run, and behind it as its last letter.
     """
     codes = np.frombuffer((" ".join(words) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     own = SYMBOLS[codes]
-    if (own == 255).any():
-        for code in np.unique(codes[own == 255]):
+    if (own < 0).any():
+        for code in np.unique(codes[own < 0]):
             SYMBOLS[code] = symbol(chr(code)) if not 0xD800 <= code < 0xE000 else 0
         own = SYMBOLS[codes]
-    own = np.concatenate([np.zeros(ORDER - 1, np.int32), own.astype(np.int32)])
+    own = np.concatenate([np.zeros(ORDER - 1, np.int32), own])
     at = np.flatnonzero((own[ORDER - 1 :] > 0) | (own[ORDER - 2 : -1] > 0)) + ORDER - 1
-    cells, alive = own[at].copy(), np.ones(len(at), bool)
+    cells, alive = np.zeros((ORDER, len(at)), np.int32), np.ones(len(at), bool)
+    cells[-1] = own[at]
     for back in range(1, ORDER):
         before = own[at - back]
         alive &= before > 0
-        cells |= np.where(alive, before, 0) << BITS * back
+        cells[-1 - back] = np.where(alive, before, 0)
     # A run begins after a sign that is none of its symbols; every word ends with a space.
     starts = np.flatnonzero(own[at - 1] == 0)
     number = np.cumsum(codes == 32)[at - (ORDER - 1)] - (codes[at - (ORDER - 1)] == 32)
-    return cells, starts, number[starts]
+    return cells.T, starts, number[starts]
+
+
+def keys_of(letters: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Cells as numbers; ``letters``: all there are, in order. Up to 65,536 different letters the numbers tell all cells apart."""
+    out = np.zeros(len(cells), np.uint64)
+    for own in cells.T:
+        out = out * np.uint64(len(letters)) + np.searchsorted(letters, own).astype(np.uint64)
+    return out
 
 
 def counted(words: Counter) -> pd.DataFrame:
     cells, starts, number = laid_out(list(words))
-    times = np.fromiter(words.values(), np.int64, len(words))[number]
-    total = np.bincount(cells, np.repeat(times, np.diff(np.append(starts, len(cells)))), CELLS).astype(np.int64)
-    some = np.flatnonzero(total)
-    return pd.DataFrame({"cell": some, "n": total[some]})
+    times = np.repeat(np.fromiter(words.values(), np.int64, len(words))[number], np.diff(np.append(starts, len(cells))))
+    _, one, place = np.unique(keys_of(np.unique(cells), cells), return_index=True, return_inverse=True)
+    return pd.DataFrame(cells[one], columns=LETTERS).assign(n=np.bincount(place, times, len(one)).astype(np.int64))
+
+
+class Ratios:
+    """Log-ratios of cells, of all that the corpus has."""
+
+    def __init__(self, cells: np.ndarray, ratio: np.ndarray):
+        self.letters = np.unique(cells)
+        keys = keys_of(self.letters, cells)
+        order = np.argsort(keys)
+        self.keys, self.ratio = keys[order], ratio[order].astype(np.float32)
+
+    def __call__(self, cells: np.ndarray) -> np.ndarray:
+        return self.ratio[np.searchsorted(self.keys, keys_of(self.letters, cells))].astype(float)
 
 
-def evidence_of(words: list[str], ratio: np.ndarray) -> np.ndarray:
-    """The largest mean log-ratio of each word's expressions; -inf without any."""
+def evidence_of(words: list[str], ratios: Ratios) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By word: the largest mean log-ratio of its expressions, -inf without any; their log-ratios' sum; their letters, ends included."""
     cells, starts, number = laid_out(words)
-    out = np.full(len(words), -np.inf)
+    most, total, size = np.full(len(words), -np.inf), np.zeros(len(words)), np.zeros(len(words))
     if len(cells):
-        means = np.add.reduceat(ratio[cells].astype(float), starts) / np.diff(np.append(starts, len(cells)))
-        np.maximum.at(out, number, means)
-    return out
+        sums, sizes = np.add.reduceat(ratios(cells), starts), np.diff(np.append(starts, len(cells)))
+        np.maximum.at(most, number, sums / sizes)
+        np.add.at(total, number, sums)
+        np.add.at(size, number, sizes)
+    return most, total, size
 
 
 def held(words: Collection[str]) -> bool:
@@ -84,8 +104,12 @@ def held(words: Collection[str]) -> bool:
     return sum(map(len, words)) + 40 * len(words) > MEMO
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """How often each cell occurs in all texts: counted in tasks, summed by Spark; at most ``CELLS`` sums reach the driver."""
+#: What tasks count, without the class.
+COUNTS = ", ".join(f"{x} int" for x in LETTERS) + ", n long"
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """``x0 ... x3, n, toxic``: the cells of all texts; toxic: -1."""
 
     def count(batches):
         words: Counter = Counter()
@@ -98,10 +122,10 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
                     words = Counter()
         yield counted(words)
 
-    return gathered(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "cell int, n long").withColumn("toxic", F.lit(0)))[0]
+    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, COUNTS).withColumn("toxic", F.lit(-1))
 
 
-def class_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def class_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The same for ordinary and toxic labelled texts. What is joined with the labels are packed texts."""
 
     def packed_texts(batches):
@@ -122,82 +146,98 @@ def class_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     packed = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(packed_texts, f"doc_id {kind}, words binary")
-    return gathered(packed.join(labels.hint("merge"), "doc_id").select("words", "toxic").mapInPandas(count, "cell int, n long, toxic int"))
+    return packed.join(labels.hint("merge"), "doc_id").select("words", "toxic").mapInPandas(count, f"{COUNTS}, toxic int")
 
 
-def gathered(counts: DataFrame) -> np.ndarray:
-    rows = counts.groupBy("toxic", "cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((2, CELLS), np.int64)
-    out[rows["toxic"], rows["cell"]] = rows["n"]
-    return out
+def gathered(*counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The corpus's cells and how often ordinary and toxic labelled texts have each: counted in tasks, summed by Spark; one row a cell reaches the driver."""
+    both = counts[0].unionByName(counts[1])
+    sums = [F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
+    rows = both.groupBy(*LETTERS).agg(*sums).toPandas()
+    return rows[LETTERS].to_numpy(np.int32), rows[["n0", "n1"]].to_numpy(np.int64).T
 
 
-def shared_model(counts: np.ndarray) -> np.ndarray:
-    """P(letter | the two before it), by cell of three letters: Kneser-Ney continuation counts of all texts, down to the even share."""
-    width = 1 << BITS
-    probability = np.full(1, 1 / width)
-    seen = counts.reshape([width] * ORDER) > 0
+def places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different row, and each row's number among them."""
+    if not rows.shape[1]:
+        return np.arange(min(1, len(rows))), np.zeros(len(rows), np.int64)
+    _, one, own = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return one, own.ravel()
+
+
+def shared_model(cells: np.ndarray) -> np.ndarray:
+    """P(letter | the two before it) of each cell: Kneser-Ney continuation counts of all texts, down to the even share."""
+    probability = np.full(len(cells), 1 / max(1, len(np.unique(cells))))
     for order in range(1, ORDER):
         # How many different letters stand before each sequence of this length.
-        kinds = seen
-        while kinds.ndim > order + 1:
-            kinds = kinds.any(axis=0)
-        own = kinds.sum(axis=0).astype(float)
-        total, types = own.sum(axis=-1, keepdims=True), (own > 0).sum(axis=-1, keepdims=True)
-        lower = np.broadcast_to(probability.reshape((1,) * (own.ndim - probability.ndim) + probability.shape), own.shape)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            smooth = np.maximum(own - DISCOUNT, 0) / total + DISCOUNT * types / total * lower
-        probability = np.where(total > 0, smooth, lower)
+        longer, _ = places(cells[:, -order - 1 :])
+        one, own = places(cells[:, -order:])
+        kinds = np.bincount(own[longer], minlength=len(one)).astype(float)
+        _, context = places(cells[:, -order:-1])
+        total, types = np.bincount(context[one], kinds), np.bincount(context[one])
+        probability = (np.maximum(kinds - DISCOUNT, 0)[own] + DISCOUNT * types[context] * probability) / total[context]
     return probability
 
 
-def log_ratio(classes: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+def log_ratio(cells: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """By cell, log P(letter | context, toxic) - log P(letter | context, ordinary), both backing off to the shared model."""
-    width = 1 << BITS
-    lower = np.broadcast_to(shared_model(corpus)[None], (width,) * ORDER).reshape(-1, width)
+    lower = shared_model(cells)
+    _, context = places(cells[:, :-1])
     out = []
-    for counts in classes:
-        own = counts.reshape(-1, width).astype(float)
-        total, types = own.sum(axis=1, keepdims=True), (own > 0).sum(axis=1, keepdims=True)
+    for own in classes:
+        total, types = np.bincount(context, own)[context], np.bincount(context, own > 0)[context]
         with np.errstate(divide="ignore", invalid="ignore"):
-            smooth = np.maximum(own - DISCOUNT, 0) / total + DISCOUNT * types / total * lower
+            smooth = (np.maximum(own - DISCOUNT, 0) + DISCOUNT * types * lower) / total
         out.append(np.log(np.maximum(np.where(total > 0, smooth, lower), 1e-12)))
-    return (out[1] - out[0]).ravel().astype(np.float32)
+    return out[1] - out[0]
 
 
-def evidence(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``doc_id, evidence``: the largest length-normalised log-likelihood ratio of a text's expressions; null without any."""
+def evidence(docs: DataFrame, ratios: Ratios) -> DataFrame:
+    """``doc_id, evidence, whole``: the largest length-normalised log-likelihood ratio of a text's expressions, and that of the whole text; null without any."""
 
     def score(batches):
-        memo: dict[str, float] = {}
+        place: dict[str, int] = {}
+        known = np.zeros((3, 0))
         for batch in batches:
             for at, texts in chunks(batch["text"]):
-                words = [set(x.split()) for x in texts]
-                new = list(set().union(*words).difference(memo))
-                memo.update(zip(new, evidence_of(new, ratio), strict=True))
-                out = [max(map(memo.__getitem__, own), default=-np.inf) for own in words]
-                if held(memo):
-                    memo.clear()
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(texts)].array, "evidence": pd.Series(out, dtype="Float64").replace(-np.inf, pd.NA)})
+                words = [x.split() for x in texts]
+                new = list(set().union(*words).difference(place))
+                place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+                known = np.concatenate([known, evidence_of(new, ratios)], axis=1)
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                some, out = np.flatnonzero(sizes), np.full((3, len(words)), np.nan)
+                if len(some):
+                    own = known[:, np.fromiter((place[x] for text in words for x in text), np.int64, sizes.sum())]
+                    starts = (np.cumsum(sizes) - sizes)[some]
+                    out[0, some] = np.maximum.reduceat(own[0], starts)
+                    out[1:, some] = np.add.reduceat(own[1:], starts, axis=1)
+                if held(place):
+                    place, known = {}, np.zeros((3, 0))
+                most, total, size = np.where(out[2] > 0, out, np.nan)
+                found = {"doc_id": batch["doc_id"].iloc[at : at + len(texts)].array, "evidence": most, "whole": total / size}
+                yield pd.DataFrame(found).astype({"evidence": "Float64", "whole": "Float64"})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(score, f"doc_id {kind}, evidence double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(score, f"doc_id {kind}, evidence double, whole double")
 
 
-def curve(steps: pd.DataFrame) -> tuple[float, float]:
-    """Slope and place of a logistic curve through ``evidence`` steps, ``toxic`` and ``n``; lightly held back."""
-    x, y, n = (steps[c].to_numpy(float) for c in ("evidence", "toxic", "n"))
+def curve(steps: pd.DataFrame) -> tuple[float, float, float]:
+    """Slopes and constant of a logistic curve through ``evidence`` and ``whole`` steps, ``toxic`` and ``n``; lightly held back."""
+    x, y, n = steps[["evidence", "whole"]].to_numpy(float), steps["toxic"].to_numpy(float), steps["n"].to_numpy(float)
     if not len(x) or len(set(y)) < 2:
-        return 1.0, 0.0 if not len(x) else float(x.max() + 5 if not y.any() else x.min() - 5)
+        return 1.0, 0.0, 0.0 if not len(x) else -float(x[:, 0].max() + 5 if not y.any() else x[:, 0].min() - 5)
     weight = np.where(y > 0, n / n[y > 0].sum(), n / n[y == 0].sum())
-    center, spread = float(x.mean()), float(x.std()) or 1.0
-    z, w = np.column_stack([(x - center) / spread, np.ones(len(x))]), np.zeros(2)
+    center, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread == 0] = 1
+    z, w = np.column_stack([(x - center) / spread, np.ones(len(x))]), np.zeros(3)
+    back = np.array([1e-3, 1e-3, 1e-9])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (weight * (p - y)) + [1e-3 * w[0], 0]
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1e-3, 1e-9])
+        grad = z.T @ (weight * (p - y)) + back * w * [1, 1, 0]
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(back)
         w -= np.linalg.solve(hess, grad)
-    return w[0] / spread, center - w[1] / w[0] * spread if w[0] else center
+    slopes = w[:2] / spread
+    return slopes[0], slopes[1], w[2] - slopes @ center
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -208,18 +248,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score``: how likely each text is toxic, from 0 to 1.
 
     ``labels``: ``doc_id`` and ``toxic`` (0 or 1; others and nulls are left out). Rows whose crc32(doc_id as
-    text) mod 3 is 1 are held out of all fitting. An expression is a run of letters and digits: its log-likelihood under the toxic
-    and under the ordinary model, over its letters; both models back off to counts of all texts, so that
-    rare forms share what is known of their parts. A text is as toxic as its most toxic expression; a
-    logistic curve over all labelled rows that aren't held out makes that a probability. Texts without
+    text) mod 3 is 1 are held out of all fitting. An expression is a run of letters and digits, of whole letters in lower case: its
+    log-likelihood under the toxic and under the ordinary model, over its letters; both models back off to counts of all texts, so that
+    rare forms share what is known of their parts. A text is judged by its most toxic expression and by the same of
+    all its expressions together, over all their letters; a logistic curve over all labelled rows that aren't held out makes both a probability. Texts without
     letters or digits, null ones too, score 0. Without labels of both kinds no text is told from another.
     Repeated rows score alike; an empty table gives no rows; other columns are ignored.
     """
     learnt = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    ratio = log_ratio(class_counts(docs.where(~is_held_out(F.col("doc_id"))), learnt), corpus_counts(docs))
-    found = written(evidence(docs, ratio), "evidence")
-    step = F.round(F.col("evidence") / STEP) * STEP
-    steps = found.where("evidence is not null").join(learnt, "doc_id").groupBy(step.alias("evidence"), "toxic").agg(F.count("*").alias("n")).toPandas()
-    slope, middle = curve(steps)
-    score = 1 / (1 + F.exp(-F.lit(float(slope)) * (F.col("evidence") - F.lit(float(middle)))))
+    cells, classes = gathered(class_counts(docs.where(~is_held_out(F.col("doc_id"))), learnt), corpus_counts(docs))
+    found = written(evidence(docs, Ratios(cells, log_ratio(cells, classes))), "evidence")
+    steps = [(F.round(F.col(c) / step) * step).alias(c) for c, step in (("evidence", STEP), ("whole", FINE))]
+    steps = found.where("evidence is not null").join(learnt, "doc_id").groupBy(*steps, "toxic").agg(F.count("*").alias("n")).toPandas()
+    slope, other, constant = (F.lit(float(x)) for x in curve(steps))
+    score = 1 / (1 + F.exp(-(slope * F.col("evidence") + other * F.col("whole") + constant)))
     return found.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce(score, F.lit(0.0)).alias("score"))
