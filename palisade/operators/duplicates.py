@@ -27,9 +27,10 @@ def streams(lines: DataFrame, functions: DataFrame) -> DataFrame:
     code = F.regexp_replace("text", F.lit(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)|//.*$|/\*.*?\*/"""), F.lit("$1"))
     hashed = F.regexp_replace("text", F.lit(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|#.*$"""), F.lit("$1"))
     each = functions.withColumn("line_no", F.explode(F.sequence("from_line", "to_line"))).join(lines.select("path", "line_no", "text"), ["path", "line_no"])
-    each = each.withColumn("t", folded(F.regexp_extract_all(by_language(F.col("lang"), lambda x: code if x.comment == "//" else hashed), F.lit(TOKEN), F.lit(1))))
-    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]))
-    return settled(each.groupBy("path", "lang", "name", "from_line", "to_line").agg(whole.alias("tokens")), "streams")
+    # Folded, no token has a space in it, so a line's are one string until its function is put together.
+    each = each.withColumn("t", F.array_join(folded(F.regexp_extract_all(by_language(F.col("lang"), lambda x: code if x.comment == "//" else hashed), F.lit(TOKEN), F.lit(1))), " ")).where("t <> ''")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), " ")
+    return settled(each.groupBy("path", "lang", "name", "from_line", "to_line").agg(F.split(whole, " ").alias("tokens")), "streams")
 
 
 def shingled(tokens: Column, width: int) -> Column:
@@ -42,36 +43,39 @@ def near_duplicates(added: DataFrame, inventory: DataFrame, width: int = 5, perc
     """``path, name, from_line, similarity, match_path, match_name, match_line``: for each function of ``added`` the one of ``inventory`` most like it, if at least ``percent`` of the runs
     of ``width`` tokens that either has are in both; both from :func:`streams`. Only functions of one language are compared, none with itself; of equally good matches the first by path and line.
 
-    Functions with one stream are one class, so copies are compared once. Two classes that are alike enough share one of their rarest runs, namely of the first
+    Likeness is one of sets of runs, so functions with one set are one class, and copies are compared once. Two classes that are alike enough share one of their rarest runs, namely of the first
     ``n - ceil(percent * n / 100) + 1`` of ``n``: only these are joined on, so that what many functions have in common brings none together. Sizes that can't be
     alike enough are left out before the sets are compared.
     """
     place = F.struct("path", F.col("from_line").alias("line"), "name")
     own = added.select("lang", "path", "name", "from_line", F.lit(True).alias("new"), "tokens").unionByName(inventory.select("lang", "path", "name", "from_line", F.lit(False).alias("new"), "tokens"))
-    own = own.withColumn("stream", F.array_join("tokens", " "))
+    own = own.select("lang", place.alias("place"), "new", F.array_sort(shingled(F.col("tokens"), width)).alias("runs"))
+    own = settled(own.select("lang", "place", "new", F.sha2(F.to_json("runs"), 256).alias("set"), "runs"), "sets")
     # The two first places: a function may be its class's first itself.
-    first = F.array_sort(F.collect_set(F.when(~F.col("new"), place)))
-    ordered = Window.partitionBy("lang", "stream", "new").orderBy("path", "from_line", "name")
-    least = own.withColumn("_n", F.row_number().over(ordered)).where("_n <= 2 or new")
-    classes = least.groupBy("lang", "stream").agg(F.first("tokens").alias("tokens"), first.alias("places"), F.max("new").alias("asked"))
-    classes = settled(classes.select("lang", "stream", shingled(F.col("tokens"), width).alias("runs"), "places", "asked"), "classes")
-    runs = classes.select("lang", "stream", "asked", (F.size("places") > 0).alias("there"), F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    ordered = Window.partitionBy("lang", "set").orderBy("place")
+    first = own.where("not new").select("lang", "set", "place", F.dense_rank().over(ordered).alias("_n")).where("_n <= 2").groupBy("lang", "set").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    classes = own.groupBy("lang", "set").agg(F.first("runs").alias("runs"), F.bool_or("new").alias("asked")).join(first, ["lang", "set"], "left")
+    classes = settled(classes.select(F.monotonically_increasing_id().alias("id"), "lang", "set", "runs", "places", "asked"), "classes")
+    runs = classes.select("lang", "id", "asked", F.col("places").isNotNull().alias("there"), F.size("runs").alias("n"), F.explode("runs").alias("run"))
     common = runs.groupBy("lang", "run").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy("lang", "stream").orderBy("df", "run")
+    rare = Window.partitionBy("id").orderBy("df", "run")
     needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = runs.join(common, ["lang", "run"]).withColumn("_at", F.row_number().over(rare)).where(F.col("_at") <= needed)
-    left = prefix.where("asked").select("lang", "run", "stream", "n")
-    right = prefix.where("there").select("lang", "run", F.col("stream").alias("_stream"), F.col("n").alias("_n"))
-    pairs = left.join(right, ["lang", "run"]).where((F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent) & (F.col("stream") != F.col("_stream"))).select("lang", "stream", "_stream").distinct()
-    sets = classes.select("lang", "stream", "runs", "places")
-    both = pairs.join(sets.drop("places"), ["lang", "stream"]).join(sets.select("lang", F.col("stream").alias("_stream"), F.col("runs").alias("_runs"), "places"), ["lang", "_stream"])
+    left = prefix.where("asked").select("lang", "run", "id", "n")
+    right = prefix.where("there").select("lang", "run", F.col("id").alias("_id"), F.col("n").alias("_n"))
+    pairs = left.join(right, ["lang", "run"]).where((F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent) & (F.col("id") != F.col("_id"))).select("id", "_id").distinct()
+    both = pairs.join(classes.select("id", "lang", "set", "runs"), "id").join(classes.select(F.col("id").alias("_id"), F.col("runs").alias("_runs"), "places"), "_id")
     shared, either = F.size(F.array_intersect("runs", "_runs")), F.size(F.array_union("runs", "_runs"))
-    alike = both.withColumn("similarity", shared / either).where(shared * 100 >= either * percent).select("lang", "stream", "similarity", "places")
-    alike = alike.unionByName(classes.where(F.col("asked") & (F.size("places") > 0)).select("lang", "stream", F.lit(1.0).alias("similarity"), "places"))
-    asked = own.where("new").select("lang", "path", "name", "from_line", "stream")
-    found = asked.join(alike, ["lang", "stream"]).withColumn("m", F.get(F.filter("places", lambda p: (p["path"] != F.col("path")) | (p["line"] != F.col("from_line")) | (p["name"] != F.col("name"))), F.lit(0))).where("m is not null")
-    best = found.groupBy("path", "name", "from_line").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "m")).alias("b"))
-    return best.select("path", "name", "from_line", (-F.col("b.s")).alias("similarity"), F.col("b.m.path").alias("match_path"), F.col("b.m.name").alias("match_name"), F.col("b.m.line").alias("match_line"))
+    alike = both.withColumn("similarity", shared / either).where(shared * 100 >= either * percent).select("lang", "set", "similarity", "places")
+    alike = alike.unionByName(classes.where(F.col("asked") & F.col("places").isNotNull()).select("lang", "set", F.lit(1.0).alias("similarity"), "places"))
+    # Of a class's matches, too, two are enough for each of its functions.
+    each = alike.select("lang", "set", F.explode("places").alias("m"), "similarity").groupBy("lang", "set", "m").agg(F.max("similarity").alias("similarity"))
+    best = each.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "set").orderBy(F.desc("similarity"), "m"))).where("_n <= 2")
+    best = best.groupBy("lang", "set").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "m"))).alias("best"))
+    found = own.where("new").select("lang", "set", "place").join(best, ["lang", "set"])
+    found = found.withColumn("b", F.get(F.filter("best", lambda x: ~x["m"].eqNullSafe(F.col("place"))), F.lit(0))).where("b is not null")
+    found = found.groupBy("place").agg(F.min("b").alias("b"))
+    return found.select("place.path", "place.name", F.col("place.line").alias("from_line"), (-F.col("b.s")).alias("similarity"), F.col("b.m.path").alias("match_path"), F.col("b.m.name").alias("match_name"), F.col("b.m.line").alias("match_line"))
 
 
 def finding_rows(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,3 +26,14 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`settled` once all that is made from them is written itself, and lets Spark delete the shuffle files that went into it."""
+    for df in tables:
+        jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()

@@ -145,3 +145,25 @@ def test_near_duplicates_brute_force(spark, percent):
             want[path, name, at] = (-s, *where)
     assert got == want
     assert duplicates.near_duplicates(spark.createDataFrame([], schema), spark.createDataFrame(old, schema)).count() == 0
+
+
+def test_functions_of_one_set_are_one_class(spark, monkeypatch):
+    random.seed(3)
+    rows = [("go", f"f{n}", "x", n, ["a"] * 5 + random.choices("bc", k=30) + ["d"] * 5) for n in range(200)]
+    # Whatever their order and number, they have the runs of two tokens that one of them has.
+    rows += [("go", f"g{n}", "y", n, list("pq" * (3 + n))) for n in range(200)]
+    schema = "lang string, path string, name string, from_line int, tokens array<string>"
+    tables = {}
+    keep = duplicates.settled
+    monkeypatch.setattr(duplicates, "settled", lambda df, label: tables.setdefault(label, keep(df, label)))
+    both = spark.createDataFrame(rows, schema)
+    got = {(r["path"], r["from_line"]): (r["similarity"], r["match_path"]) for r in duplicates.near_duplicates(both, both, 2, 85).collect()}
+    assert tables["classes"].count() < 20
+    assert len(got) == 400 and got["g0", 0] == (1.0, "g1") and got["g7", 7] == (1.0, "g0")
+
+
+def test_repeated_rows_of_an_inventory_hide_no_match(spark):
+    own, other = ("go", "a.go", "f", 1, list("abcdefgh")), ("go", "b.go", "g", 5, list("abcdefgh"))
+    schema = "lang string, path string, name string, from_line int, tokens array<string>"
+    got = duplicates.near_duplicates(spark.createDataFrame([own], schema), spark.createDataFrame([own, own, own, other], schema)).collect()
+    assert [(r["match_path"], r["match_line"], r["similarity"]) for r in got] == [("b.go", 5, 1.0)]
