@@ -7,16 +7,21 @@ which neighbours come together first, so a path's scripts are folded in rounds,
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.scans import running
-from palisade.sources.tables import settled
+from palisade.sources.tables import dropped, settled, swept
 
 #: Scripts that come together in a round, and lines whose places are ranked in one window.
 FAN, BLOCK = 16, 4096
+#: Rows that a task hands back at a time, about.
+OUT = 20_000
 #: Beyond every file's end.
 END = 2**40
 #: A run of new lines: first line, length, the commit that wrote it (null: the old file), and its first line there.
@@ -77,33 +82,56 @@ def runs_of(lines: DataFrame, *key: str) -> DataFrame:
 
 
 def folded(runs: DataFrame) -> DataFrame:
-    """``(key, side, path, start, len, src, at)``: the one script of each path; ``runs(key, side, path, ord, commit, added, start, len)`` with ``ord`` from 0 without gaps."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for _, own in group.sort_values("ord", kind="stable").groupby("ord"):
-            pairs = lambda x: list(zip(x["start"].tolist(), x["len"].tolist(), strict=True))
-            new = script(pairs(own[own["added"]]), pairs(own[~own["added"]]), int(own["commit"].iloc[0]))
-            out = new if out is None else composed(out, new)
-        return framed(group, out)
-
-    def more(group: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for _, own in group.sort_values(["ord", "start"]).groupby("ord"):
-            new = [(s, n, None if pd.isna(c) else int(c), a) for s, n, c, a in zip(own["start"].tolist(), own["len"].tolist(), own["src"].tolist(), own["at"].tolist(), strict=True)]
-            out = new if out is None else composed(out, new)
-        return framed(group, out)
-
-    def framed(group: pd.DataFrame, out: list[Run]) -> pd.DataFrame:
-        rows = pd.DataFrame(out, columns=["start", "len", "src", "at"]).astype({"src": "Int64"})
-        return rows.assign(key=group["key"].iloc[0], side=group["side"].iloc[0], path=group["path"].iloc[0], ord=group["node"].iloc[0])[["key", "side", "path", "ord", "start", "len", "src", "at"]]
-
-    fields = f"key {dict(runs.dtypes)['key']}, side int, path string, ord long, {RUN}"
+    """``(key, side, path, start, len, src, at)``: the one script of each path; ``runs(key, side, path, ord, commit, added, start, len)``, a written table, with ``ord`` from 0 without gaps."""
+
+    def one(own: list[tuple]) -> list[Run]:
+        own = list(own)
+        pairs = lambda added: [(x[7], x[8]) for x in own if x[6] == added]
+        return script(pairs(True), pairs(False), own[0][5])
+
+    def more(own: list[tuple]) -> list[Run]:
+        return [(x[5], x[6], x[7], x[8]) for x in own]
+
+    def task(read):
+        """Rows come in order of their groups, so a task holds one group at a time, whatever their number."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind: list[pa.DataType] = []
+
+            def rows():
+                for batch in batches:
+                    kind[:] = [batch.schema.field("key").type]
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+            def flush() -> pa.RecordBatch:
+                types = [*kind, pa.int32(), pa.string(), *[pa.int64()] * 5]
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True)], ["key", "side", "path", "ord", "start", "len", "src", "at"])
+
+            made: list[tuple] = []
+            for head, group in groupby(rows(), itemgetter(0, 1, 2, 3)):
+                out = None
+                for _, own in groupby(group, itemgetter(4)):
+                    out = read(own) if out is None else composed(out, read(own))
+                made += [(*head, *r) for r in out]
+                if len(made) >= OUT:
+                    yield flush()
+                    made.clear()
+            if made:
+                yield flush()
+
+        return run
+
+    def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+        head = ["key", "side", "path", "node"]
+        rows = rows.withColumn("node", F.expr(f"ord div {FAN}")).select(*head, "ord", *columns)
+        return rows.repartition(*head).sortWithinPartitions(*head, "ord", "start")
+
+    fields = f"key {runs.schema['key'].dataType.simpleString()}, side int, path string, ord long, {RUN}"
     most = runs.agg(F.max("ord")).first()[0]
-    node = F.expr(f"ord div {FAN}")
-    made = settled(runs.withColumn("node", node).groupBy("key", "side", "path", "node").applyInPandas(one, fields), "scripts")
+    made = settled(dealt(runs, "commit", "added", "start", "len").mapInArrow(task(one), fields), "scripts")
     while most is not None and (most := most // FAN) > 0:
-        made = settled(made.withColumn("node", node).groupBy("key", "side", "path", "node").applyInPandas(more, fields), "scripts")
+        before, made = made, settled(dealt(made, "start", "len", "src", "at").mapInArrow(task(more), fields), "scripts")
+        dropped(before)
     return made.drop("ord")
 
 
@@ -114,40 +142,64 @@ def net_lines(lines: DataFrame, trim: bool = True) -> DataFrame:
     first parents. A line that one commit adds and a later one removes counts for nothing. With ``trim``, text that is taken out and put back in at the same place
     doesn't count either, as far as a gap's removed and added lines agree from its start or to its end. A renamed file counts under both its paths. No lines give no rows.
     """
-    lines = lines.select("key", "seq", "commit", "path", "op", F.col("line_no").cast("long").alias("line_no"), "text")
-    runs = runs_of(lines, "key", "seq", "commit", "path")
-    order = lines.select("key", "path", "seq").distinct()
+    return net_of(settled(lines.select("key", "seq", "commit", "path", "op", F.col("line_no").cast("long").alias("line_no"), "text"), "lines"), trim)
+
+
+def net_of(lines: DataFrame, trim: bool = True) -> DataFrame:
+    """:func:`net_lines` of a written table, which is read several times."""
+    runs = settled(runs_of(lines, "key", "seq", "commit", "path"), "runs")
+    order = runs.select("key", "path", "seq").distinct()
     # A path's commits: few for most, but a log that each commit touches is ranked in blocks too.
     order = running(order, ["key", "path"], "seq", F.expr(f"seq div {BLOCK}"), n=("sum", F.lit(1))).withColumn("ord", F.col("n") - 1).drop("n")
+    order = settled(order, "order")
     total = order.groupBy("key", "path").agg(F.count("*").alias("n"))
-    own = runs.join(order, ["key", "path", "seq"]).join(total, ["key", "path"])
-    forward = own.select("key", F.lit(0).alias("side"), "path", F.col("ord").cast("long").alias("ord"), "commit", (F.col("op") == "+").alias("added"), "start", "len")
+    # Tables of few MB on disk may be millions of rows: none of them goes through the driver.
+    own = runs.join(order.join(total.hint("merge"), ["key", "path"]).hint("merge"), ["key", "path", "seq"])
+    ahead, behind = F.col("ord").cast("long"), (F.col("n") - 1 - F.col("ord")).cast("long")
     # Seen from the last state backwards, lines are added that were removed.
-    back = own.select("key", F.lit(1).alias("side"), "path", (F.col("n") - 1 - F.col("ord")).cast("long").alias("ord"), "commit", (F.col("op") == "-").alias("added"), "start", "len")
-    net = folded(forward.unionByName(back))
-    # The gap of the first state that lines stand in: after its last line that stays before them.
-    kept = F.when(F.col("src").isNull(), F.when(F.col("side") == 0, F.col("at") + F.col("len") - 1).otherwise(F.col("start") + F.col("len") - 1))
+    both = [F.struct(F.lit(side).alias("side"), at.alias("ord"), (F.col("op") == op).alias("added")) for side, at, op in ((0, ahead, "+"), (1, behind, "-"))]
+    both = settled(own.withColumn("_s", F.explode(F.array(*both))).select("key", "_s.side", "path", "_s.ord", "commit", "_s.added", "start", "len"), "sides")
+    swept(lines.sparkSession)
+    net = folded(both)
+    # The gap of the first state that lines stand in: after its last line that stays before them, which is so far on in their own state.
+    end = F.col("start") + F.col("len") - 1
+    kept = F.when(F.col("src").isNull(), F.struct(F.when(F.col("side") == 0, F.col("at") + F.col("len") - 1).otherwise(end).alias("gap"), end.alias("own")))
     net = running(net, ["key", "side", "path"], "start", F.expr(f"start div {BLOCK}"), _gap=("last", kept)).where("src is not null")
-    each = net.select("key", "side", "path", F.coalesce("_gap", F.lit(0)).alias("gap"), F.col("src").alias("commit"), F.posexplode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("_n", "line_no"), "at")
-    each = each.select("key", "path", F.when(F.col("side") == 0, "+").otherwise("-").alias("op"), "gap", "line_no", "commit", (F.col("at") + F.col("_n")).alias("_at"))
+    each = net.select("key", "side", "path", "_gap", F.col("src").alias("commit"), F.posexplode(F.sequence("start", end)).alias("_n", "line_no"), "at")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    each = each.select("key", "path", F.when(F.col("side") == 0, "+").otherwise("-").alias("op"), zero("_gap.gap").alias("gap"), (F.col("line_no") - zero("_gap.own")).alias("k"), "line_no", "commit", (F.col("at") + F.col("_n")).alias("_at"))
     texts = lines.select("key", "path", "op", "commit", F.col("line_no").alias("_at"), "text")
-    found = each.join(texts, ["key", "path", "op", "commit", "_at"]).select("key", "path", "op", "gap", "line_no", "text")
-    if trim:
-        found = untouched(untouched(settled(found, "net"), F.col("line_no")), -F.col("line_no"))
-    return found.select("key", "path", "op", "line_no", "text")
+    found = settled(each.join(texts.hint("merge"), ["key", "path", "op", "commit", "_at"]).select("key", "path", "op", "gap", "k", "line_no", "text"), "net")
+    dropped(lines, runs, order, both)
+    return (untouched(found) if trim else found).select("key", "path", "op", "line_no", "text")
 
 
-def untouched(found: DataFrame, order: Column) -> DataFrame:
-    """``found`` without the lines of a gap that its removed and added ones share, counted in ``order`` up to the first that differs."""
+def untouched(found: DataFrame) -> DataFrame:
+    """``found(key, path, op, gap, k, line_no, text)``, a written table, without the lines of a gap that its removed and added ones share, counted from either end up to the first that differs.
+
+    ``k`` counts a gap's lines of either kind from 1. Long gaps are dealt out by line.
+    """
     keys = ["key", "path", "gap"]
-    rows = found.withColumn("_o", order)
-    rows = running(rows, [*keys, "op"], "_o", F.floor(F.col("_o") / BLOCK), k=("sum", F.lit(1)))
     # Only gaps with both can agree.
-    sides = {op: rows.where(F.col("op") == op) for op in "+-"}
-    both = sides["-"].select(*keys, "k", F.col("text").alias("_a")).join(sides["+"].select(*keys, "k", F.col("text").alias("_b")), [*keys, "k"])
-    ran = running(both, keys, "k", F.floor(F.col("k") / BLOCK), _off=("max", (~F.col("_a").eqNullSafe(F.col("_b"))).cast("int")))
-    same = ran.where("_off = 0").select(*keys, "k")
-    return rows.join(same, [*keys, "k"], "left_anti").select(found.columns)
+    sizes = found.groupBy(*keys).agg(F.max(F.when(F.col("op") == "-", F.col("k"))).alias("_old"), F.max(F.when(F.col("op") == "+", F.col("k"))).alias("_new"))
+    rows = settled(found.join(sizes.where("_old is not null and _new is not null").hint("merge"), keys), "mixed")
+    old, new = (rows.where(F.col("op") == op) for op in "-+")
+    most = F.least("_old", "_new")
+
+    def shared(shift, place, name: str) -> DataFrame:
+        """How many lines agree, of those ``shift`` further on in the new state, up to the first ``place`` that doesn't."""
+        left = old.select(*keys, (F.col("k") + shift).alias("k"), place.alias("_place"), most.alias("_most"), F.col("text").alias("_a"))
+        both = left.join(new.select(*keys, "k", F.col("text").alias("_b")).hint("merge"), [*keys, "k"])
+        off = F.min(F.when(~F.col("_a").eqNullSafe(F.col("_b")), F.col("_place") - 1))
+        return both.groupBy(*keys).agg(F.coalesce(off, F.max("_most")).alias(name))
+
+    shift = F.col("_new") - F.col("_old")
+    same = shared(F.lit(0), F.col("k"), "_lo").join(shared(shift, F.col("_old") - F.col("k") + 1, "_hi").hint("merge"), keys).where("_lo + _hi > 0")
+    left = rows.select(*found.columns, "_old", "_new").join(same.hint("merge"), keys)
+    # What agrees from the start isn't counted from the end again.
+    last = F.when(F.col("op") == "-", F.col("_old")).otherwise(F.col("_new"))
+    gone = left.where((F.col("k") <= F.col("_lo")) | (F.col("k") > last - F.least(F.col("_hi"), most - F.col("_lo")))).select("key", "path", "op", "line_no")
+    return found.join(gone.hint("merge"), ["key", "path", "op", "line_no"], "left_anti")
 
 
 def net_files(net: DataFrame, files: DataFrame) -> DataFrame:

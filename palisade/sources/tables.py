@@ -35,5 +35,10 @@ def dropped(*tables: DataFrame) -> None:
         for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
             path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+    swept(tables[0].sparkSession)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is written by now, which it does once the driver has collected what refers to them."""
     gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()

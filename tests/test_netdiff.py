@@ -70,3 +70,18 @@ def test_net_files(spark):
     files = spark.createDataFrame([(1, s, p, k) for s, p, k in [(0, "new", "added"), (1, "new", "modified"), (0, "brief", "added"), (1, "brief", "deleted"), (0, "old", "modified"), (1, "gone", "deleted"), (0, "back", "modified"), (1, "back", "modified"), (0, "empty", "added")]], "key int, seq int, path string, kind string")
     got = sorted(tuple(r)[1:] for r in netdiff.net_files(netdiff.net_lines(lines), files).collect())
     assert got == [("empty", "added", 0, 0), ("gone", "deleted", 0, 1), ("new", "added", 2, 0), ("old", "modified", 0, 1)]
+
+
+def test_commits_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [(1, s, 10 + s, "p", op, n, f"{op}{n}") for s in range(5) for op in "-+" for n in (1, 4)]
+    schema = "key long, seq int, commit long, path string, op string, line_no int, text string"
+    lines = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    assert netdiff.net_lines(lines).count() == 4
+    assert read.value == len(rows)
