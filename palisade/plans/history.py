@@ -9,6 +9,7 @@ from palisade.operators import engine
 from palisade.plans.registry import query
 from palisade.sources import adapters as A
 from palisade.sources import graph, netdiff, patches, policies
+from palisade.sources.tables import settled, swept
 
 #: Orders as commits: 500 to a repository. Of seven, the fourth and fifth are a side branch from the second; the sixth merges it in every other
 #: group and is plain in the others, which leave it a head of its own; in each fifth group it has no parent, a root of its own. Every 13th clock is three hours slow.
@@ -106,11 +107,14 @@ NET_SQL = f"""{LIVES_SQL}, ends AS (SELECT *, count(*) FILTER (born = 0) OVER w
 def range_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(range_id, seq, text)``: the patches of each range's four commits."""
     rows = A.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "raw")).selectExpr("doc_id", "p", "raw", *[f"{v} AS {k}" for k, v in LIFE.items()])
-    rows = rows.withColumn("dies", F.when(F.col("dies") > F.col("born"), F.col("dies")).otherwise(99)).withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    so_far = Window.partitionBy("doc_id", "seq").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("dies", F.when(F.col("dies") > F.col("born"), F.col("dies")).otherwise(99))
+    so_far = Window.partitionBy("doc_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     alive = lambda v: ((F.col("born") <= v) & (F.col("dies") > v)).cast("int")
-    rows = rows.withColumns({"old": F.sum(alive(F.col("seq") - 1)).over(so_far), "new": F.sum(alive(F.col("seq"))).over(so_far)})
+    rows = rows.withColumns({f"n{v}": F.sum(alive(v)).over(so_far) for v in range(5)})
     hunk = lambda old, new, sign: F.concat(F.lit("@@ -"), F.col("old").cast("string"), F.lit(f",{old} +"), F.col("new").cast("string"), F.lit(f",{new} @@\n{sign}"), "raw")
+    # What each commit does to a line, if anything.
+    step = [F.when((F.col("dies") == v) | (F.col("born") == v), F.struct(F.lit(v).alias("seq"), F.col(f"n{v - 1}").alias("old"), F.col(f"n{v}").alias("new"))) for v in range(1, 5)]
+    rows = rows.withColumn("s", F.explode(F.array_compact(F.array(*step)))).select("doc_id", "p", "raw", "born", "dies", "s.*")
     text = F.when(F.col("dies") == F.col("seq"), hunk(1, 0, "-")).when(F.col("born") == F.col("seq"), hunk(0, 1, "+"))
     path = F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     one = rows.withColumn("hunk", text).where("hunk is not null").groupBy("doc_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "hunk"))), lambda x: x["hunk"]), "\n").alias("hunks"))
@@ -118,24 +122,28 @@ def range_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("range_id", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n").alias("text"))
 
 
-def net(spark: SparkSession, sf_dir: str) -> DataFrame:
+def range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the commits of each range do, line by line, written."""
     lines = patches.patch_lines(range_patches(spark, sf_dir), "range_id", "seq")
     commit = (10 * F.col("range_id") + F.col("seq")).alias("commit")
-    return netdiff.net_lines(lines.select(F.col("range_id").alias("key"), "seq", commit, "path", "op", "line_no", "text"))
+    lines = settled(lines.select(F.col("range_id").alias("key"), "seq", commit, "path", "op", F.col("line_no").cast("long").alias("line_no"), "text"), "lines")
+    swept(spark)
+    return lines
 
 
 @query("range_net_lines", f"WITH {NET_SQL} SELECT range_id, 'src/doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS path, op, line_no, raw AS text FROM left_over")
 def range_net_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each range adds and removes in all, decoded from its commits' patches."""
-    return net(spark, sf_dir).select(F.col("key").alias("range_id"), "path", "op", "line_no", "text")
+    return netdiff.net_of(range_lines(spark, sf_dir)).select(F.col("key").alias("range_id"), "path", "op", "line_no", "text")
 
 
 @query("range_net_diff", f"""WITH {NET_SQL}, n AS (SELECT range_id, count(*) AS net_lines FROM left_over GROUP BY 1), s AS (SELECT range_id, count(*) AS sum_lines FROM (SELECT range_id, dies AS v FROM lives WHERE dies <= 4 UNION ALL SELECT range_id, born FROM lives WHERE born BETWEEN 1 AND 4) GROUP BY 1)
     SELECT range_id, sum_lines, coalesce(net_lines, 0) AS net_lines, sum_lines > 400 AS sum_over, coalesce(net_lines, 0) > 400 AS net_over FROM s LEFT JOIN n USING (range_id)""")
 def range_net_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ranges against a budget: by what their commits change one by one, and by what is left of it."""
-    each = patches.patch_lines(range_patches(spark, sf_dir), "range_id", "seq").groupBy("range_id").agg(F.count("*").alias("sum_lines"))
-    total = net(spark, sf_dir).groupBy(F.col("key").alias("range_id")).agg(F.count("*").alias("net_lines"))
+    lines = range_lines(spark, sf_dir)
+    each = settled(lines.groupBy(F.col("key").alias("range_id")).agg(F.count("*").alias("sum_lines")), "sums")
+    total = netdiff.net_of(lines).groupBy(F.col("key").alias("range_id")).agg(F.count("*").alias("net_lines"))
     out = each.join(total, "range_id", "left").withColumn("net_lines", F.coalesce("net_lines", F.lit(0)))
     return out.select("range_id", "sum_lines", "net_lines", (F.col("sum_lines") > 400).alias("sum_over"), (F.col("net_lines") > 400).alias("net_over"))
 

@@ -18,9 +18,10 @@ HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 BLOCK = 65_536
 
 
-def here(to: int = 0) -> WindowSpec:
-    """A block's rows up to this one, or to the one before it."""
-    return Window.partitionBy("_key", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, to)
+def here(rows: DataFrame, to: int = 0) -> WindowSpec:
+    """A block's rows up to this one, or to the one before it. Without blocks, rows stay where their text was, if it was dealt out by its key."""
+    by = ["_key", "_block"] if "_block" in rows.columns else rows.schema["_key"].dataType.names
+    return Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, to)
 
 
 def before() -> WindowSpec:
@@ -32,9 +33,10 @@ def last(column: str | Column) -> Column:
 
 
 def in_blocks(patches: DataFrame, key: tuple[str, ...], block: int | None) -> DataFrame:
-    """``key..., _key, pos, raw, _block``."""
+    """``key..., _key, pos, raw``, and ``_block`` if there are blocks."""
     rows = patches.select(*key, F.col("pos").cast("long").alias("pos"), "raw") if "raw" in patches.columns else patches.select(*key, F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    return rows.withColumns({"_key": F.struct(*key), "_block": F.floor(F.col("pos") / block) if block else F.lit(0)})
+    rows = rows.withColumn("_key", F.struct(*key))
+    return rows.withColumn("_block", F.floor(F.col("pos") / block)) if block else rows
 
 
 def handed(rows: DataFrame, block: int | None, before_blocks) -> DataFrame:
@@ -43,7 +45,7 @@ def handed(rows: DataFrame, block: int | None, before_blocks) -> DataFrame:
         # Written once, since both what a block hands on and its rows are made from it.
         rows = settled(rows, "patch-blocks")
         return rows.join(before_blocks(rows), ["_key", "_block"], "left")
-    none = before_blocks(rows).schema
+    none = before_blocks(rows.withColumn("_block", F.lit(0))).schema
     return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in none if f.name not in ("_key", "_block")})
 
 
@@ -52,10 +54,10 @@ def hunks_within(rows: DataFrame) -> DataFrame:
     hunk = F.col("raw").rlike(HUNK)
     sign = F.substring("raw", 1, 1)
     number = lambda n, default: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("raw", HUNK, n), F.lit("")), F.lit("9999999999")).cast("long"), F.lit(default).cast("long"))
-    count = lambda *s: F.sum((~hunk & sign.isin(*s)).cast("long")).over(here())
+    count = lambda *s: F.sum((~hunk & sign.isin(*s)).cast("long")).over(here(rows))
     rows = rows.withColumns({"sign": sign, "hunk": hunk, "_o": count(" ", "-"), "_n": count(" ", "+")})
     h = F.struct(number(1, None).alias("old_start"), number(2, 1).alias("old_len"), number(3, 0).alias("new_start"), number(4, 1).alias("new_len"), F.col("_o").alias("o"), F.col("_n").alias("n"))
-    return rows.withColumn("_h", last(F.when(F.col("hunk"), h)).over(here()))
+    return rows.withColumn("_h", last(F.when(F.col("hunk"), h)).over(here(rows)))
 
 
 def hunks_before(rows: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def files_within(rows: DataFrame) -> DataFrame:
     header = lambda mark: F.when(~F.col("body") & F.col("raw").startswith(mark), F.regexp_replace(F.expr(f"substring(raw, {len(mark) + 1})"), "\t$", ""))
     head = lambda path, is_old: F.when(path.isNotNull(), F.struct(F.lit(is_old).alias("is_old"), path.alias("path")))
     rows = rows.withColumn("_head", F.coalesce(head(header("--- "), True), head(header("+++ "), False)))
-    rows = rows.withColumn("_waits", last("_head").over(here(-1)))
+    rows = rows.withColumn("_waits", last("_head").over(here(rows, -1)))
     binary = F.when(~F.col("body") & F.col("raw").rlike(BINARY), opened(F.regexp_extract("raw", BINARY, 1), F.regexp_extract("raw", BINARY, 2), True))
     paired = F.when(~F.col("_head.is_old") & F.col("_waits.is_old"), opened(F.col("_waits.path"), F.col("_head.path"), False))
     return rows.withColumn("opened", F.coalesce(paired, binary))
@@ -116,7 +118,7 @@ def stepped(patches: DataFrame, *key: str, block: int | None = None) -> DataFram
     found = handed(files_within(with_hunks(in_blocks(patches, key, block), block)), block, files_before)
     late = F.when(~F.col("_head.is_old") & F.col("_waits").isNull() & F.col("_waits0.is_old"), opened(F.col("_waits0.path"), F.col("_head.path"), False))
     found = found.withColumn("opened", F.coalesce("opened", late))
-    found = found.withColumns({"file_ord": F.coalesce("_files0", F.lit(0)) + F.count("opened").over(here()), "_at": F.coalesce(last("opened").over(here()), F.col("_at0"))})
+    found = found.withColumns({"file_ord": F.coalesce("_files0", F.lit(0)) + F.count("opened").over(here(found)), "_at": F.coalesce(last("opened").over(here(found)), F.col("_at0"))})
     bare = lambda c: F.when(F.col(c) == "/dev/null", None).otherwise(F.regexp_replace(c, "^[ab]/", ""))
     return found.withColumns({"new_path": bare("_at.new"), "old_path": bare("_at.old"), "is_binary": F.col("_at.is_binary")}).withColumn("path", F.coalesce("new_path", "old_path"))
 
