@@ -26,7 +26,7 @@ def streams(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """``functions(path, lang, name, from_line, to_line)`` with ``tokens`` of ``lines(path, line_no, text)``, comments left out."""
     code = F.regexp_replace("text", F.lit(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)|//.*$|/\*.*?\*/"""), F.lit("$1"))
     hashed = F.regexp_replace("text", F.lit(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|#.*$"""), F.lit("$1"))
-    each = functions.withColumn("line_no", F.explode(F.sequence("from_line", "to_line"))).join(lines.select("path", "line_no", "text"), ["path", "line_no"])
+    each = functions.withColumn("line_no", F.explode(F.sequence("from_line", "to_line"))).join(lines.select("path", "line_no", "text").hint("merge"), ["path", "line_no"])
     # Folded, no token has a space in it, so a line's are one string until its function is put together.
     each = each.withColumn("t", F.array_join(folded(F.regexp_extract_all(by_language(F.col("lang"), lambda x: code if x.comment == "//" else hashed), F.lit(TOKEN), F.lit(1))), " ")).where("t <> ''")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), " ")

@@ -115,7 +115,8 @@ def indented(rows: DataFrame) -> DataFrame:
     """
     head = F.col("name").isNotNull() & (F.col("up") == 0)
     files = rows.groupBy("path").agg(F.collect_set(F.when(head, F.col("_in"))).alias("_ins"), F.max("line_no").alias("_end_line")).where("size(_ins) > 0")
-    own = rows.where("up = 0").join(files, "path")
+    # Tables of few MB on disk may be millions of rows: none of them goes through the driver.
+    own = rows.where("up = 0").join(files.hint("merge"), "path")
     # A body ends one line of code before the line that ends it.
     ends = own.select("path", F.explode(F.filter("_ins", lambda x: x >= F.col("_in"))).alias("level"), "line_no", F.col("_at").alias("_end"), F.lit(0).alias("_head"))
     heads = own.where("name is not null").select("path", F.col("_in").alias("level"), "line_no", F.lit(1).alias("_head"), F.struct("lang", "name", "_end_line").alias("_row"))
@@ -124,7 +125,7 @@ def indented(rows: DataFrame) -> DataFrame:
     found = running(both, ["path", "level"], "_back", F.floor(-F.col("line_no") / BLOCK), _next=("last", F.col("_end"))).where("_head = 1")
     found = found.select("path", "line_no", "_row.*", (F.col("_next") - 1).alias("_last"))
     lines = rows.select("path", F.col("_at").alias("_last"), F.col("line_no").alias("to_line"))
-    return found.join(lines, ["path", "_last"], "left").select("path", "lang", "name", F.col("line_no").alias("from_line"), F.greatest(F.coalesce("to_line", "_end_line"), "line_no").alias("to_line"))
+    return found.join(lines.hint("merge"), ["path", "_last"], "left").select("path", "lang", "name", F.col("line_no").alias("from_line"), F.greatest(F.coalesce("to_line", "_end_line"), "line_no").alias("to_line"))
 
 
 def statements(lines: DataFrame, begins: dict[str, str]) -> DataFrame:
@@ -135,6 +136,6 @@ def statements(lines: DataFrame, begins: dict[str, str]) -> DataFrame:
     for lang, pattern in begins.items():
         start = start | ((F.col("lang") == lang) & F.col("text").rlike(pattern))
     heads = closed(rows, start).withColumn("to_line", F.coalesce("to_line", "line_no")).select("path", "lang", F.col("line_no").alias("from_line"), "to_line")
-    each = heads.withColumn("line_no", F.explode(F.sequence("from_line", "to_line"))).join(rows.select("path", "line_no", "text"), ["path", "line_no"])
+    each = heads.withColumn("line_no", F.explode(F.sequence("from_line", "to_line"))).join(rows.select("path", "line_no", "text").hint("merge"), ["path", "line_no"])
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.regexp_replace("text", r"^\s+|\s+$", "").alias("t")))), lambda x: x["t"]), " ")
     return each.groupBy("path", "lang", "from_line", "to_line").agg(joined.alias("text"))
