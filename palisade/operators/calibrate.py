@@ -159,7 +159,8 @@ def function_drift(added: DataFrame, known: DataFrame, share: float = 0.8, facto
 
     Where no style has that share, as in mixed repositories, no name drifts; a single word in small letters never does; of a language without functions nothing is known.
     """
-    rows = added.withColumns({"style": style(F.col("name")), "size": F.col("to_line") - F.col("from_line") + 1}).join(known, "lang")
+    # A row a language; the functions, which are few bytes a row on disk, must not be the side that goes through the driver.
+    rows = added.withColumns({"style": style(F.col("name")), "size": F.col("to_line") - F.col("from_line") + 1}).join(F.broadcast(known), "lang")
     name = F.col("style").isNotNull() & (F.col("n_dominant") >= share * F.col("total")) & (F.col("style") != F.col("dominant"))
     rows = rows.withColumns({"name_drifts": F.coalesce(name, F.lit(False)), "size_drifts": F.col("size") > factor * F.col("mean_size")})
     return rows.where("name_drifts or size_drifts")

@@ -167,3 +167,31 @@ def test_repeated_rows_of_an_inventory_hide_no_match(spark):
     schema = "lang string, path string, name string, from_line int, tokens array<string>"
     got = duplicates.near_duplicates(spark.createDataFrame([own], schema), spark.createDataFrame([own, own, own, other], schema)).collect()
     assert [(r["match_path"], r["match_line"], r["similarity"]) for r in got] == [("b.go", 5, 1.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_functions_go_through_no_driver(spark):
+    rows = spark.createDataFrame([("a.py", "python", n, f"f{n}" if n % 3 == 0 else None, 0, n % 3, n) for n in range(60)], "path string, lang string, line_no long, name string, up long, _in int, _at long")
+    # Only what blocks hand on, which for most files is nothing, may be sent around.
+    assert plan(code.indented(rows)).count("BroadcastHashJoin") <= 1
+    assert code.indented(rows).count() == 20
+
+
+def test_of_drift_only_what_is_known_is_sent_around(spark):
+    added = spark.createDataFrame([("go", "doThat", 1, 9), ("py", "run", 1, 9)], "lang string, name string, from_line long, to_line long")
+    known = calibrate.conventions(spark.range(100_000).selectExpr("if(id % 2 = 0, 'go', 'py') AS lang", "concat('do_it', id) AS name", "1L AS from_line", "4L AS to_line"))
+    joins = [x for x in plan(calibrate.function_drift(added, known)).split("\n") if "Join" in x]
+    assert "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0]
+
+
+def test_drift_looks_through_files_once(spark, monkeypatch):
+    from palisade.plans import code as queries
+
+    seen = []
+    keep = code.functions
+    monkeypatch.setattr(code, "functions", lambda lines: seen.append(1) or keep(lines))
+    queries.code_function_drift(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1
